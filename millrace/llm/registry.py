@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import url_filter
+from millrace.llm import bpe, secrets, url_filter
 
 QUERIES = {
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
