@@ -20,8 +20,8 @@ import functools
 import hashlib
 import json
 import re
+from itertools import chain
 
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +29,9 @@ from millrace.llm.common import map_rows, table
 
 #: Characters on whose splitting all versions of Unicode agree; texts of others are split by the tokenizers library.
 PLAIN = re.compile(r"[^\t\n\r -~\xa0-ɏ‐-‧€]")
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\\t\\n\\r \\xa0"
+#: The tokenizer's splitting pattern over those characters.
+PLAIN_SPLIT = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Words kept with their ids by one worker; beyond, the table is emptied.
 KEPT_WORDS = 600_000
 ONE = (1,)
@@ -137,16 +140,13 @@ class BpeCodec:
         self.automaton = TokenAutomaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         self.bytes_of = self.automaton.label | {i: s.encode() for s, i in self.special.items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        import public_tokenizers
-
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self.splitter = None
 
     def split(self, text: str) -> list[str]:
         """The words of a text, as the tokenizers library splits it."""
         if PLAIN.search(text) is None:
-            return self.pattern.findall(text)
+            return PLAIN_SPLIT.findall(text)
         if self.splitter is None:
             from tokenizers.pre_tokenizers import ByteLevel
 
@@ -154,17 +154,20 @@ class BpeCodec:
         return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
 
     def _plain(self, text: str) -> list[int]:
-        words, out, encode = self.words, [], self.automaton.encode
+        words, split = self.words, self.split(text)
         if len(words) > KEPT_WORDS:
             words.clear()
-        for w in self.split(text):
-            ids = words.get(w)
-            if ids is None:
-                ids = encode(w.encode("utf-8"))
-                if len(w) <= 64:
-                    words[w] = ids
-            out += ids
-        return out
+        found = list(map(words.get, split))
+        if None in found:
+            encode = self.automaton.encode
+            for i, word in enumerate(split):
+                if found[i] is None:
+                    if (ids := words.get(word)) is None:
+                        ids = tuple(encode(word.encode("utf-8")))
+                        if len(word) <= 64:
+                            words[word] = ids
+                    found[i] = ids
+        return list(chain.from_iterable(found))
 
     def encode(self, text: str | None) -> list[int]:
         text = text or ""
