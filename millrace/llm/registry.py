@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, secrets, url_filter
+from millrace.llm import bpe, langid, merkle, secrets, url_filter
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op7_language_id": langid.op7_language_id,
+    "op9_fingerprints": merkle.op9_fingerprints,
     "op10_bpe": bpe.op10_bpe,
 }
 
