@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, langid, merkle, secrets, url_filter
+from millrace.llm import bpe, langid, merkle, minhash, packing, secrets, tokencount, url_filter
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_near_duplicates": minhash.op3_near_duplicates,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_token_counts": tokencount.op5_token_counts,
     "op7_language_id": langid.op7_language_id,
     "op9_fingerprints": merkle.op9_fingerprints,
     "op10_bpe": bpe.op10_bpe,
