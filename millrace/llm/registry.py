@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, langid, merkle, minhash, packing, secrets, tokencount, url_filter
+from millrace.llm import ann, bpe, html_text, langid, merkle, minhash, packing, secrets, tokencount, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_near_duplicates": minhash.op3_near_duplicates,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_token_counts": tokencount.op5_token_counts,
+    "op6_html_text": html_text.op6_html_text,
     "op7_language_id": langid.op7_language_id,
+    "op8_nearest": ann.op8_nearest,
     "op9_fingerprints": merkle.op9_fingerprints,
     "op10_bpe": bpe.op10_bpe,
 }
