@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -57,51 +58,59 @@ def parts(word: str) -> list[str]:
     return [marked[i : i + LONGEST_WORD] for i in range(0, len(marked), LONGEST_WORD)]
 
 
-def pieces_in(part: str, pieces: dict[str, int]):
-    """(start, end, piece) of every substring that is a piece."""
-    for i in range(len(part)):
-        for j in range(i + 1, min(len(part), i + LONGEST_PIECE) + 1):
-            if (p := pieces.get(part[i:j])) is not None:
-                yield i, j, p
+@functools.cache
+def prefixes() -> dict[str, int]:
+    """Every prefix of a piece; to the piece's number, or -1 if it is none itself."""
+    out = {p[:n]: -1 for p in vocabulary() for n in range(1, len(p))}
+    return out | vocabulary()
 
 
 class LanguageModel:
-    """langs, log priors, and a probability for each piece and language."""
-
-    def __init__(self, langs: list[str], prior: list[float], probability: np.ndarray, unseen: list[float]) -> None:
-        self.langs, self.prior, self.unseen = langs, np.array(prior), tuple(unseen)
-        self.table = {p: tuple(map(float, probability[i])) for p, i in vocabulary().items()}
-
-    def __getstate__(self) -> dict:
-        pieces = vocabulary()
-        return {"langs": self.langs, "prior": self.prior, "unseen": self.unseen, "p": np.array([self.table[p] for p in pieces], dtype=np.float64)}
-
-    def __setstate__(self, state: dict) -> None:
-        self.langs, self.prior, self.unseen = state["langs"], state["prior"], state["unseen"]
-        self.table = dict(zip(vocabulary(), map(tuple, state["p"].tolist()), strict=True))
-
-    def part_log(self, part: str) -> list[float]:
-        """Log of the sum over all segmentations, for each language."""
-        n, get, unseen = len(part), self.table.get, self.unseen
-        ways: list[list[float] | None] = [None] * (n + 1)
-        ways[0] = [1.0] * len(self.langs)
-        for i in range(n):
-            here = ways[i]
-            for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1):
-                p = get(part[i:j])
-                if p is None:
-                    if j > i + 1:
-                        continue
-                    p = unseen  # any single character can be read
-                there = ways[j]
-                if there is None:
-                    ways[j] = [a * b for a, b in zip(here, p, strict=True)]
-                else:
-                    ways[j] = [c + a * b for a, b, c in zip(here, p, there, strict=True)]
-        return [math.log(x) for x in ways[n]]
-
-    def word_log(self, word: str) -> list[float]:
-        return [sum(x) for x in zip(*map(self.part_log, parts(word)), strict=True)]
+    """langs, log priors, and a probability for each piece and language; the last row is for a character unseen."""
+
+    def __init__(self, langs: list[str], prior: list[float], probability: np.ndarray) -> None:
+        self.langs, self.prior, self.probability = langs, np.array(prior), probability
+
+    def part_logs(self, texts: list[str]) -> np.ndarray:
+        """Log of the sum over all segmentations of each part, by language.
+
+        The forward pass goes over positions, for all parts at once: what reaches position i times a piece's
+        probability is added to what reaches its end.
+        """
+        known, unseen, steps = prefixes().get, len(self.probability) - 1, array("q")
+        for w, part in enumerate(texts):
+            n = len(part)
+            for i in range(n):
+                for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1):
+                    p = known(part[i:j])
+                    if p is None:
+                        if j == i + 1:
+                            steps.append(((i << 6 | j) << 17 | w) << 16 | unseen)
+                        break
+                    if p >= 0:
+                        steps.append(((i << 6 | j) << 17 | w) << 16 | p)
+                    elif j == i + 1:  # any single character can be read
+                        steps.append(((i << 6 | j) << 17 | w) << 16 | unseen)
+        ways = np.zeros((LONGEST_WORD + 1, len(texts), len(self.langs)))
+        ways[0] = 1.0
+        order = np.sort(np.frombuffer(steps, dtype=np.int64)) if steps else np.zeros(0, dtype=np.int64)
+        places = order >> 33
+        cuts = np.flatnonzero(np.diff(places, prepend=-1, append=-1))
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            i, j = int(places[low]) >> 6, int(places[low]) & 63
+            w, p = (order[low:high] >> 16) & 0x1FFFF, order[low:high] & 0xFFFF
+            ways[j, w] += ways[i, w] * self.probability[p]
+        return np.log(ways[[len(t) for t in texts], np.arange(len(texts))])
+
+    def word_logs(self, words: list[str]) -> np.ndarray:
+        """The same for words, which may have several parts."""
+        cut = [parts(w) for w in words]
+        out = np.zeros((len(words), len(self.langs)))
+        flat = [(i, p) for i, ps in enumerate(cut) for p in ps]
+        for at in range(0, len(flat), 20_000):
+            some = flat[at : at + 20_000]
+            np.add.at(out, [i for i, _ in some], self.part_logs([p for _, p in some]))
+        return out
 
 
 class Scorer:
@@ -110,29 +119,26 @@ class Scorer:
     def __init__(self, model: LanguageModel) -> None:
         self.model, self.kept, self.rows = model, {}, np.zeros((1024, len(model.langs)))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else []
-        if not self.model.langs or not words or not any(c.isalpha() for w in words for c in w):
-            return UNDETERMINED, 0.0
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
-        at = list(map(self.kept.get, words))
-        if None in at:
-            for i, w in enumerate(words):
-                if at[i] is None:
-                    at[i] = self._add(w)
-        total = self.rows[at].sum(axis=0) + self.model.prior
+        split = [words_of(t) if t else [] for t in texts]
+        new = list({w for words in split for w in words if w not in self.kept})
+        if new and self.model.langs:
+            at = len(self.kept)
+            if (grown := at + len(new)) > len(self.rows):
+                self.rows = np.concatenate([self.rows[:at], np.zeros((max(grown, 2 * at) - at, self.rows.shape[1]))])
+            self.rows[at:grown] = self.model.word_logs(new)
+            self.kept.update(zip(new, range(at, grown), strict=True))
+        return list(map(self._best, split))
+
+    def _best(self, words: list[str]) -> tuple[str, float]:
+        if not self.model.langs or not any(c.isalpha() for w in words for c in w):
+            return UNDETERMINED, 0.0
+        total = self.rows[list(map(self.kept.__getitem__, words))].sum(axis=0) + self.model.prior
         best = int(total.argmax())
         return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
-    def _add(self, word: str) -> int:
-        if (known := self.kept.get(word)) is None:
-            known = self.kept[word] = len(self.kept)
-            if known >= len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[known] = self.model.word_log(word)
-        return known
-
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 4000, smoothing: float = 0.5) -> LanguageModel:
     """A model from at most `sample_docs` rows (those with the smallest hashes of key and text's length)."""
@@ -140,10 +146,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     rows = labelled.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     end = rows.select(hashed.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
     if end is None:
-        return LanguageModel([], [], np.zeros((len(vocabulary()), 0)), [])
+        return LanguageModel([], [], np.zeros((len(vocabulary()) + 1, 0)))
 
     def make():
-        pieces = vocabulary()
+        known = prefixes().get
 
         def work(batch: dict) -> dict:
             sums: dict[str, Counter] = {}
@@ -152,8 +158,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
                 c[-1] += 1  # the documents
                 for w, n in Counter(words_of(t)).items():
                     for part in parts(w):
-                        for _, _, p in pieces_in(part, pieces):
-                            c[p] += n
+                        for i in range(len(part)):
+                            for j in range(i + 1, min(len(part), i + LONGEST_PIECE) + 1):
+                                if (p := known(part[i:j])) is None:
+                                    break
+                                if p >= 0:
+                                    c[p] += n
             flat = [(name, p, n) for name, c in sums.items() for p, n in c.items()]
             return {"lang": [x[0] for x in flat], "piece": [x[1] for x in flat], "n": [x[2] for x in flat]}
 
@@ -170,7 +180,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         else:
             table_[r["piece"], column[r["lang"]]] = r["n"]
     sizes = table_.sum(axis=0) + smoothing * len(table_)
-    return LanguageModel(langs, [math.log(d / sum(docs)) for d in docs], (table_ + smoothing) / sizes, list(smoothing / sizes))
+    return LanguageModel(langs, [math.log(d / sum(docs)) for d in docs], np.vstack([(table_ + smoothing) / sizes, smoothing / sizes]))
 
 
 def predict(documents: DataFrame, model: LanguageModel, columns: list[str], text: str = "text") -> DataFrame:
@@ -182,7 +192,7 @@ def predict(documents: DataFrame, model: LanguageModel, columns: list[str], text
         scorer = Scorer(model)
 
         def work(batch: dict) -> dict:
-            found = [scorer.predict(t) for t in batch[text]]
+            found = scorer.predict(batch[text])
             return {c: batch[c] for c in columns} | {"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
 
         return work
