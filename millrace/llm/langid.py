@@ -183,8 +183,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return LanguageModel(langs, [math.log(d / sum(docs)) for d in docs], np.vstack([(table_ + smoothing) / sizes, smoothing / sizes]))
 
 
-def predict(documents: DataFrame, model: LanguageModel, columns: list[str], text: str = "text") -> DataFrame:
-    """`columns` of documents, lang_pred, score."""
+def predict(documents: DataFrame, model: LanguageModel, columns: list[str], text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """`columns` of documents, and the prediction and its score under names that are not among them."""
     kinds = dict(documents.select(*[F.col(f"`{c}`") for c in columns]).dtypes)
     wanted = list(dict.fromkeys([*columns, text]))
 
@@ -193,11 +193,11 @@ def predict(documents: DataFrame, model: LanguageModel, columns: list[str], text
 
         def work(batch: dict) -> dict:
             found = scorer.predict(batch[text])
-            return {c: batch[c] for c in columns} | {"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
+            return {c: batch[c] for c in columns} | {pred: [x[0] for x in found], score: [x[1] for x in found]}
 
         return work
 
-    return map_rows(documents, wanted, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", lang_pred string, score double", make)
+    return map_rows(documents, wanted, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", `{pred}` string, `{score}` double", make)
 
 
 def fold(key: Column) -> Column:
@@ -209,4 +209,4 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every text of documents; learned from folds 1 to 4 alone."""
     documents = table(spark, sf_dir, "documents")
     model = train(documents.where(fold(F.col("doc_id")) != 0))
-    return predict(documents, model, ["doc_id"]).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+    return predict(documents, model, ["doc_id"]).select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

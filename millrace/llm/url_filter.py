@@ -145,22 +145,24 @@ def template_verdicts(parsed: DataFrame, settings: TreeSettings = TreeSettings()
 def filter_urls(pages: DataFrame, url: str, rules: tuple[Rule, ...], label: str | None = None, settings: TreeSettings = TreeSettings()) -> DataFrame:
     """The columns of pages with url_host, url_path, url_rule, url_verdict, url_template, url_purity.
 
-    label: a column of pages with 1 (bad), 0 (good) or null; without one, the rules label.
+    Columns of pages that have such a name already are replaced. label: a column of pages with 1 (bad), 0 (good) or null; without one, the rules label.
     """
+    s1, s2, added = "url_s1", "url_s2", ("url_host", "url_path", "url_rule", "url_said", "url_s1", "url_s2", "url_verdict", "url_template", "url_purity", "url_rejected")
+    own = [c for c in pages.columns if c not in added]
     host, path = host_of(F.col(f"`{url}`")), path_of(F.col(f"`{url}`"))
-    rows = pages.select(*[F.col(f"`{c}`") for c in pages.columns], host.alias("url_host"), path.alias("url_path"))
+    rows = pages.select(*[F.col(f"`{c}`") for c in own], host.alias("url_host"), path.alias("url_path"))
     text, verdict = rule_of(F.col("url_host"), F.col("url_path"), rules)
-    rows = rows.withColumns({"url_rule": text, "url_said": verdict, "url_s1": segment(F.col("url_path"), 1), "url_s2": segment(F.col("url_path"), 2)})
+    rows = rows.withColumns({"url_rule": text, "url_said": verdict, s1: segment(F.col("url_path"), 1), s2: segment(F.col("url_path"), 2)})
     bad = F.when(F.col("url_said") == "block", 1).when(F.col("url_said") == "allow", 0) if label is None else F.col(f"`{label}`")
     judged = template_verdicts(rows.select(F.col("url_host").alias("host"), F.col("url_s1").alias("s1"), F.col("url_s2").alias("s2"), bad.alias("bad")), settings)
     judged = judged.select(F.col("host").alias("url_host"), F.col("s1").alias("url_s1"), F.col("s2").alias("url_s2"), F.col("template").alias("url_template"), F.col("purity").alias("url_purity"), F.col("rejected").alias("url_rejected"))
-    own = F.when(F.col("url_rejected"), F.lit("block")).otherwise(F.lit("allow"))
+    judge = F.when(F.col("url_rejected"), F.lit("block")).otherwise(F.lit("allow"))
     return rows.join(judged, ["url_host", "url_s1", "url_s2"], "left").select(
-        *[F.col(f"`{c}`") for c in pages.columns],
+        *[F.col(f"`{c}`") for c in own],
         "url_host",
         "url_path",
         "url_rule",
-        F.coalesce(F.col("url_said"), own).alias("url_verdict"),
+        F.coalesce(F.col("url_said"), judge).alias("url_verdict"),
         "url_template",
         "url_purity",
     )
