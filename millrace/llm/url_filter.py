@@ -85,8 +85,7 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
 
 def segment(path: Column, i: int) -> Column:
     """The i-th part of the path (from 1); digits only (and an extension) are a wildcard; none: empty."""
-    part = F.element_at(F.split(path, "/"), i + 1)
-    part = F.coalesce(part, F.lit(""))
+    part = F.coalesce(F.get(F.split(path, "/"), i), F.lit(""))
     return F.when(part.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"), F.lit("*")).otherwise(part)
 
 

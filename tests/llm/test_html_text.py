@@ -25,7 +25,7 @@ def test_min_cut_is_least():
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head>
 <body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href="/a">Home</a></li></ul></nav>
-<div class="cookie-notice">We use cookies, do accept them all now please.</div>{before}<article><h1>Title</h1><p>First paragraph, long enough to be one. A &amp; B&nbsp;C &lt;x&gt;</p>
+<div class="cookie-notice">We use cookies, do accept them all now please.</div><article><h1>Title</h1><p>First paragraph, long enough to be one. A &amp; B&nbsp;C &lt;x&gt;</p>
 <p>Short.</p><form><p>Your name</p><input></form><p>Last <b>bold</b>ly<br>said.</p></article>
 <aside>Another long article that you may want to read as well, honestly.</aside><section id="comments"><article><p>What a great article, I enjoyed it a lot. Thanks!</p></article></section>
 <div class="ad">Buy now, this is cheap and good. Really cheap.</div><footer>&copy; all rights reserved.</footer></body></html>"""
@@ -33,8 +33,8 @@ TEXT = "Title First paragraph, long enough to be one. A & B C <x> Short. Last bo
 
 
 def test_article():
-    assert H.main_text(PAGE.format(before="")) == TEXT
-    assert H.main_text(PAGE.replace("<article><h1>", '<div id="content"><h1>', 1).replace("</article>\n<aside>", "</div>\n<aside>").format(before="")) == TEXT
+    assert H.main_text(PAGE) == TEXT
+    assert H.main_text(PAGE.replace("<article><h1>", '<div id="content"><h1>', 1).replace("</article>\n<aside>", "</div>\n<aside>")) == TEXT
 
 
 def test_broken_markup():
