@@ -91,8 +91,11 @@ def rows_per_file(group: FileGroup, records: int, target: int) -> int:
     return max(1, math.ceil(target * records / group.data_bytes))
 
 
-def arranged(df: DataFrame, table: Table, group: FileGroup) -> DataFrame:
-    """Dealt to the group's output parallelism and sorted in each partition."""
+def arranged(df: DataFrame, table: Table, group: FileGroup) -> tuple[DataFrame, list[str]]:
+    """Dealt to the group's output parallelism and sorted in each partition; with the names of its partition columns.
+
+    These stay in the frame: Spark's writer then sees that rows are in order of them, and does not sort again.
+    """
     fields = table.metadata.partition_fields
     wide, names = table.partitioned(df)
     by = [F.col(n) for n in names]
@@ -105,7 +108,7 @@ def arranged(df: DataFrame, table: Table, group: FileGroup) -> DataFrame:
     order = sort_columns(table.metadata.schema(), table.metadata.sort_fields)
     if order:
         wide = wide.sortWithinPartitions(*by, *order)
-    return wide.select(*[F.col(f"`{f}`") for f in table.metadata.schema().fieldNames()])
+    return wide, names
 
 
 @dataclass(frozen=True)
@@ -133,12 +136,12 @@ class SparkExecutor:
 
     def rewrite_files(self, request: RewriteRequest) -> RewriteResponse:
         table, plan, config = request.table, request.plan, request.config
-        df = arranged(read_group(table, plan.files, config), table, plan.group)
+        df, names = arranged(read_group(table, plan.files, config), table, plan.group)
         records = plan.files.agg(F.coalesce(F.sum("record_count"), F.lit(0))).first()[0]
         options = {"compression": config.compression, "parquet.block.size": str(config.row_group_bytes)}
         if most := rows_per_file(plan.group, records, config.target_file_size_bytes):
             options["maxRecordsPerFile"] = str(most)
-        files = table.write_files(df, prefix=f"{config.data_file_prefix}-{uuid.uuid4().hex[:8]}", options=options)
+        files = table.write_files(df, prefix=f"{config.data_file_prefix}-{uuid.uuid4().hex[:8]}", options=options, partition_columns=names)
         return RewriteResponse(files, RewriteStats.of(plan.group, files))
 
 
