@@ -165,6 +165,12 @@ def scan_hidden_columns(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf, True).select("event_id", F.col(POSITION).alias("pos"), F.col(SEQUENCE).alias("seq"))
 
 
+@exhibit("SELECT event_id, value FROM events WHERE NOT (user_id % 10 = 0 AND day(ts) < 15) AND event_type = 'click'")
+def mor_predicate_and_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """Two columns and a filter: both reach the scan through the anti join."""
+    return MergeOnRead(EVENTS, events(spark, sf), equality=[user_deletes(spark, sf)]).frame().where("event_type = 'click'").select("event_id", "value")
+
+
 # planning over the manifest of orders
 
 MANIFEST_SQL = """
