@@ -153,7 +153,8 @@ class BpeCodec:
             self.splitter = ByteLevel(add_prefix_space=False, use_regex=True)
         return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> list[tuple[int, ...]]:
+        """The ids of each word of a text without special tokens."""
         words, split = self.words, self.split(text)
         if len(words) > KEPT_WORDS:
             words.clear()
@@ -167,18 +168,26 @@ class BpeCodec:
                         if len(word) <= 64:
                             words[word] = ids
                     found[i] = ids
-        return list(chain.from_iterable(found))
+        return found
 
-    def encode(self, text: str | None) -> list[int]:
+    def _words(self, text: str | None) -> list[tuple[int, ...]]:
+        """The ids of each word and special token."""
         text = text or ""
         if self.cut is None or not any(s in text for s in self.special):
             return self._plain(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += [*self._plain(text[at : m.start()]), self.special[m[0]]]
+            out += [*self._plain(text[at : m.start()]), (self.special[m[0]],)]
             at = m.end()
         return out + self._plain(text[at:])
 
+    def encode(self, text: str | None) -> list[int]:
+        return list(chain.from_iterable(self._words(text)))
+
+    def count(self, text: str | None) -> int:
+        """How many ids encode() would give."""
+        return sum(map(len, self._words(text)))
+
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, joined; bytes that are not UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
