@@ -239,7 +239,7 @@ def near_duplicates(documents: DataFrame, settings: NearSettings = NearSettings(
     """id, n_shingles, component_id, kept for every row of documents."""
     s = settings
     known = cut(features(documents, s.words, key, text), "features")
-    reps = known.where("n > 0 AND id IS NOT NULL").groupBy("set_id").agg(F.min("id").alias("rep"))
+    reps = cut(known.where("n > 0 AND id IS NOT NULL").groupBy("set_id").agg(F.min("id").alias("rep")), "reps")
     nodes = known.join(reps.select(F.col("set_id").alias("rep_set"), F.col("rep").alias("rep_id")), (F.col("id") == F.col("rep_id")) & (F.col("set_id") == F.col("rep_set")), "left_semi").dropDuplicates(["id", "set_id"])
     banded = nodes.select(F.col("id").alias("node"), F.explode("bands").alias("bucket"))
     centers = banded.groupBy("bucket").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center <> last")
