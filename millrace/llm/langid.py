@@ -32,7 +32,7 @@ UNDETERMINED = "und"
 #: Runs of letters in texts of Latin characters only, and in all others.
 LATIN = re.compile(r"[^\x00-ɏ‐-‧€]")
 LATIN_WORD, WORD = re.compile("[a-zªµºà-öø-ɏ]+"), re.compile(r"[^\W\d_]+")
-LONGEST_WORD, LONGEST_PIECE = 48, 16
+LONGEST_WORD, LONGEST_PIECE, RESCALED = 48, 16, 8
 KEPT_WORDS = 500_000
 
 
@@ -75,7 +75,8 @@ class LanguageModel:
         """Log of the sum over all segmentations of each part, by language.
 
         The forward pass goes over positions, for all parts at once: what reaches position i times a piece's
-        probability is added to what reaches its end.
+        probability is added to what reaches its end. Every RESCALED positions what reaches them is set to 1 and its logarithm
+        kept, as the product over a part of unseen characters would be 0.
         """
         known, unseen, steps = prefixes().get, len(self.probability) - 1, array("q")
         for w, part in enumerate(texts):
@@ -96,11 +97,18 @@ class LanguageModel:
         order = np.sort(np.frombuffer(steps, dtype=np.int64)) if steps else np.zeros(0, dtype=np.int64)
         places = order >> 33
         cuts = np.flatnonzero(np.diff(places, prepend=-1, append=-1))
+        lengths, scale, scaled = np.array([len(t) for t in texts], dtype=np.int64), np.zeros((len(texts), len(self.langs))), 0
         for low, high in zip(cuts, cuts[1:], strict=False):
             i, j = int(places[low]) >> 6, int(places[low]) & 63
+            if i >= scaled + RESCALED:  # all that reaches i is there; nothing before i is read again
+                long = np.flatnonzero(lengths >= i)
+                by = np.where(ways[i, long] > 0, ways[i, long], 1.0)
+                ways[i : i + LONGEST_PIECE + 1, long] /= by
+                scale[long] += np.log(by)
+                scaled = i
             w, p = (order[low:high] >> 16) & 0x1FFFF, order[low:high] & 0xFFFF
             ways[j, w] += ways[i, w] * self.probability[p]
-        return np.log(ways[[len(t) for t in texts], np.arange(len(texts))])
+        return np.log(ways[lengths, np.arange(len(texts))]) + scale
 
     def word_logs(self, words: list[str]) -> np.ndarray:
         """The same for words, which may have several parts."""

@@ -33,6 +33,18 @@ def test_long_words_are_summed_in_parts(model):
     assert np.allclose(model.word_logs([word])[0], model.part_logs(L.parts(word)).sum(axis=0)) and "".join(L.parts(word)) == f"▁{word}"
 
 
+def test_unseen_script_does_not_underflow():
+    rare = np.full((len(L.vocabulary()) + 1, 2), [1e-9, 1e-7])  # y has less training data, so what is unseen costs it less
+    for p in ("▁the", "▁house", "▁of", "▁man"):
+        rare[L.vocabulary()[p]] = [0.05, 1e-7]
+    run = "".join(chr(0x1200 + i) for i in range(100))
+    model = L.LanguageModel(["x", "y"], [0.0, 0.0], rare)
+    each = model.word_logs([run])[0]
+    assert np.isfinite(each).all() and np.allclose(each, (len(run) + 1) * np.log([1e-9, 1e-7]), rtol=0.05)
+    got = L.Scorer(model).predict([run, f"{run} " + "the house of the man " * 40])
+    assert got[0][0] == "y" and got[1] == ("x", pytest.approx(1.0))
+
+
 def test_undetermined(model):
     s = L.Scorer(model)
     got = s.predict([None, "", "123 !?", "²", "ok"])
