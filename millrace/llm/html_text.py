@@ -8,7 +8,10 @@ found by max-flow over the blocks that their own costs don't decide (a block who
 smoothness edges is on its own side in every minimum cut, so it is taken out first and its edges become costs).
 
 The classifier's weights are set by hand (`WEIGHTS`): no table holds labelled blocks. Elements that never hold
-an article's text (forms, menus, footers, asides, comments and so on, by element or by class word) have an infinite cost.
+an article's text (scripts, menus, footers, asides and so on, and what is hidden) have an infinite cost. Forms and class
+words (sidebar, comments and so on) only mark what is in them, at a finite cost. A mark ends at an article in it, but for those
+of comments, advertisements and the like; none counts that holds most of the page's text, with no article outside.
+Words after has-, no- and the like tell of another element.
 
 Defined results: null and empty pages have the empty text; repeated rows repeated results; broken markup is read as browsers
 read it, as far as open elements go; nothing is dropped for length.
@@ -36,19 +39,23 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Elements whose text goes on in the block around them.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: What never holds an article's text, by element and by word of class, id or role.
-NEVER = set("head nav footer aside form button select option script style noscript template object svg math canvas dialog menu iframe audio video".split())
+NEVER = set("head nav footer aside button select option script style noscript template object svg math canvas dialog menu iframe audio video".split())
 NEVER_WORDS = set(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer footnav sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies "
     "consent gdpr notice alert popup modal overlay comment comments commentlist disqus reply replies respond discussion share sharing social related recommended newsletter subscribe signup login search "
     "pagination pager widget toolbar masthead copyright legal disclaimer complementary contentinfo tags".split()
 )
+#: Articles inside these are none of the page's.
+STICKY_WORDS = set("comment comments commentlist disqus reply replies respond discussion ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion related recommended sidebar aside widget".split())
+#: A class of a layout that has or lacks a part is not the part.
+STATE = re.compile(r"(?:has|no|with|without|hide|not|non)(?:[-_]|(?=[A-Z]))")
 HEADER_WORDS = {"header", "topbar", "masthead"}
 CONTENT_WORDS = set("article content post entry story main articlebody text body".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Inside these an open element of the kind is another's.
 SCOPES = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "html", "blockquote", "td", "th", "aside", "nav", "footer", "header", "form"}
 
-WEIGHTS = {"base": -0.6, "per_80_chars": 1.0, "most_length": 2.5, "sentence": 0.8, "links": -4.0, "in_article": 2.5, "in_content": 1.2, "heading": 0.3, "list": -0.5}
+WEIGHTS = {"base": -0.6, "per_80_chars": 1.0, "most_length": 2.5, "sentence": 0.8, "links": -4.0, "in_article": 2.5, "in_content": 1.2, "heading": 0.3, "list": -0.5, "marked": -6.0}
 ADJACENT, SIBLING, INFINITE = 0.4, 0.6, 1e9
 
 
@@ -59,6 +66,7 @@ class Element:
     article: bool
     content: bool
     number: int
+    marks: frozenset[tuple[int, bool]] = frozenset()  # numbers of marked elements around it, and whether articles leave the mark
 
 
 @dataclass
@@ -71,10 +79,12 @@ class Block:
     tag: str = ""
     parent: int = 0
     text: str = ""
+    marks: frozenset[tuple[int, bool]] = frozenset()
 
 
 def element(tag: str, attributes: str, above: Element, number: int) -> Element:
     never, article, content = above.never or tag in NEVER, above.article or tag in ("article", "main"), above.content
+    marked, sticky = tag == "form", False
     if tag not in ("html", "body") and attributes.strip():
         words: set[str] = set()
         for m in ATTRIBUTE.finditer(attributes):
@@ -83,13 +93,19 @@ def element(tag: str, attributes: str, above: Element, number: int) -> Element:
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 never = True
             elif name != "aria-hidden":
-                words.update(w.lower() for w in WORDS.findall(value))
-        never = never or bool(words & NEVER_WORDS) and not (tag in ("article", "main") and not words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"})
+                words.update(w.lower() for token in value.split() if not STATE.match(token) for w in WORDS.findall(token))
+        marked = marked or bool(words & NEVER_WORDS) and not (tag in ("article", "main") and not words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"})
         content = content or bool(words & CONTENT_WORDS)
-        never = never or bool(words & HEADER_WORDS) and not above.article
+        marked = marked or bool(words & HEADER_WORDS) and not above.article
+        sticky = bool(words & STICKY_WORDS)
     if tag == "header" and not above.article:
         never = True
-    return Element(tag, never, article, content, number)
+    marks = above.marks
+    if marked:
+        marks |= {(number, sticky)}
+    elif tag in ("article", "main"):
+        marks = frozenset(m for m in marks if m[1])
+    return Element(tag, never, article, content, number, marks)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -109,9 +125,10 @@ def blocks_of(page: str) -> list[Block]:
             top = stack[-1]
             holder = next((e for e in reversed(stack) if e.tag not in INLINE), stack[0])
             outer = next((e for e in reversed(stack) if e.tag not in INLINE and e is not holder), stack[0])
-            now = Block(never=top.never, article=top.article, content=top.content, tag=holder.tag, parent=outer.number)
+            now = Block(never=top.never, article=top.article, content=top.content, tag=holder.tag, parent=outer.number, marks=top.marks)
             out.append(now)
         now.never = now.never and stack[-1].never
+        now.marks &= stack[-1].marks
         now.parts.append(text)
         if links:
             now.linked += len(text)
@@ -178,17 +195,34 @@ def blocks_of(page: str) -> list[Block]:
         raw = "".join(b.parts)
         b.text = " ".join(html.unescape(raw).split())
         b.linked = b.linked / max(1, len(raw))
-    return [b for b in out if b.text]
+    return unmarked([b for b in out if b.text])
+
+
+def unmarked(blocks: list[Block]) -> list[Block]:
+    """The blocks, without the marks of elements that hold most of the page's text, if no article is outside them."""
+    open_ = [b for b in blocks if not b.never]
+    if not any(b.marks for b in open_) or any(not b.marks and (b.article or b.content) for b in open_):
+        return blocks
+    held: dict[tuple[int, bool], float] = {}
+    for b in open_:
+        for m in b.marks:
+            held[m] = held.get(m, 0.0) + len(b.text) * (1 - b.linked)
+    half = sum(len(b.text) * (1 - b.linked) for b in open_) / 2
+    void = frozenset(m for m, n in held.items() if n > half)
+    for b in open_:
+        b.marks -= void
+    return blocks
 
 
 def preference(b: Block) -> float:
-    """Log-odds for content by the classifier; minus infinity where no article's text can be."""
+    """Log-odds for content by the classifier; minus infinity where no article's text can be, less where a form or class word marks it."""
     if b.never:
         return -INFINITE
     w = WEIGHTS
     score = w["base"] + min(len(b.text) / 80 * w["per_80_chars"], w["most_length"]) + w["links"] * b.linked
     score += w["sentence"] * any(c in b.text for c in ".!?。")
     score += w["in_article"] if b.article else w["in_content"] if b.content else 0
+    score += w["marked"] if b.marks else 0
     return score + w["heading"] * (b.tag in ("h1", "h2", "h3")) + w["list"] * (b.tag == "li" and not b.article)
 
 

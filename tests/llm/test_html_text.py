@@ -37,6 +37,18 @@ def test_article():
     assert H.main_text(PAGE.replace("<article><h1>", '<div id="content"><h1>', 1).replace("</article>\n<aside>", "</div>\n<aside>")) == TEXT
 
 
+def test_class_words_of_wrappers():
+    story = "<p>One long paragraph of the story, with words enough to be one.</p><p>And another of them, which ends the story here.</p>"
+    article, text = f"<article>{story}</article>", "One long paragraph of the story, with words enough to be one. And another of them, which ends the story here."
+    rest = '<nav><a href="/">Home</a></nav>', '<div class="ad">Buy now, this is cheap.</div><div class="sidebar"><article><p>Another story, read it as well.</p></article></div>'
+    for tag in ('div class="layout has-sidebar"', 'div id="search-page"', 'div class="post no-comments"', 'form id="aspnetForm"', 'div class="hasSidebar with-ads"', 'div class="banner share"'):
+        for inner in (article, f"<div>{story}</div>"):
+            page = f"<html><body>{rest[0]}<{tag}>{inner}</{tag.split()[0]}>{rest[1]}</body></html>"
+            assert H.main_text(page) == text, page
+    assert H.main_text(f'<form><nav>Home</nav><div class="sidebar-layout">{article}</div><footer>(c)</footer></form>') == text
+    assert H.main_text(f'<div class="no-comments"><script>{story}</script><div hidden>{article}</div></div>') == ""
+
+
 def test_broken_markup():
     assert H.main_text("<article><p>One two three four five, six.<p>Seven eight<b>nine<p>Ten &am") == "One two three four five, six. Seven eightnine Ten &am"
     assert H.main_text("<article><p>Text here is good.</p><script>if (a<b) '</article>'") == "Text here is good."
