@@ -4,8 +4,8 @@ A URL is cut into host and path. Explicit rules come first. What no rule covers
 judged by a tree of path templates, one tree for each host:
 
 1. segments are generalised: digits become a wildcard at once, and of the other
-   segments under one node only those with enough rows and a fair share of the node's
-   rows stay constants; the rest becomes the wildcard `*`;
+   segments under one node only those with enough rows stay constants, whatever their
+   share of the node's rows; the rest becomes the wildcard `*`;
 2. a branch whose labelled share of bad pages does not differ significantly from that of
    its siblings together (two-proportion z test) is merged with them: it takes their pooled labels;
 3. a template is rejected if its labelled purity, smoothed towards its host's (which is
@@ -47,8 +47,8 @@ class Rule:
 
 @dataclass(frozen=True)
 class TreeSettings:
-    min_rows: int = 3  # a constant segment has at least so many rows ...
-    min_share: float = 0.02  # ... and this share of its node's rows, so a node has 50 at most
+    min_rows: int = 3  # a constant segment has at least so many rows, however many its node has
+    min_share: float = 0.02  # of the SQL alone, which also asks for this share of the node's rows; no segment of the given tables has less
     z2: float = 3.84  # square of z beyond which two shares differ (5 %)
     smoothing: float = 4.0  # pseudo-count of the prior
     reject_at: float = 0.8
@@ -92,12 +92,7 @@ def segment(path: Column, i: int) -> Column:
 def _generalised(counts: DataFrame, keys: list[str], raw: str, name: str, s: TreeSettings) -> DataFrame:
     """counts with the column `name`: the segment `raw` under `keys`, or `*` if it varies."""
     child = counts.groupBy(*keys, raw).agg(F.sum("n").alias("child_n"))
-    node = counts.groupBy(*keys).agg(F.sum("n").alias("node_n"))
-    constant = (
-        child.join(node, keys)
-        .where((F.col(raw) != "*") & (F.col("child_n") >= s.min_rows) & (F.col("child_n") >= s.min_share * F.col("node_n")))
-        .select(*keys, raw, F.col(raw).alias(name))
-    )
+    constant = child.where((F.col(raw) != "*") & (F.col("child_n") >= s.min_rows)).select(*keys, raw, F.col(raw).alias(name))
     return counts.join(constant, [*keys, raw], "left").withColumn(name, F.coalesce(F.col(name), F.lit("*")))
 
 

@@ -51,6 +51,12 @@ def test_similar_branches_share_labels(spark):
     assert {r["url_verdict"] for r in got} == {"block"}
 
 
+def test_small_sections_of_a_large_host(spark):
+    rows = [(f"http://h/news/{i}", 0) for i in range(2000)] + [(f"http://h/spam/{i}", 1) for i in range(30)] + [(f"http://h/help/{i}", 0) for i in range(5)] + [(f"http://h/shop/{i}", None) for i in range(20)]
+    got = U.filter_urls(spark.createDataFrame(rows, "url string, label int"), "url", (), label="label").select("url_template", "url_verdict").distinct().collect()
+    assert {tuple(r) for r in got} == {("h/news/*", "allow"), ("h/spam/*", "block"), ("h/help/*", "allow"), ("h/shop/*", "allow")}
+
+
 def test_empty_and_repeated(spark):
     pages = spark.createDataFrame([("http://a.net/x",)] * 3, "url string")
     assert U.filter_urls(pages, "url", U.RULES).count() == 3 and U.filter_urls(pages.where("false"), "url", U.RULES).count() == 0
