@@ -1,7 +1,8 @@
 """URL filter by a path-template tree, all in DataFrame functions.
 
 A URL is cut into host and path. Explicit rules come first. What no rule covers is
-judged by a tree of path templates, one tree for each host:
+judged by a tree of path templates, one tree for each host, as deep as its paths (the SQL
+has two levels, as many as the given tables' paths have):
 
 1. segments are generalised: digits become a wildcard at once, and of the other
    segments under one node only those with enough rows stay constants, whatever their
@@ -83,17 +84,14 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
     return text, verdict
 
 
-def segment(path: Column, i: int) -> Column:
-    """The i-th part of the path (from 1); digits only (and an extension) are a wildcard; none: empty."""
-    part = F.coalesce(F.get(F.split(path, "/"), i), F.lit(""))
-    return F.when(part.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"), F.lit("*")).otherwise(part)
+def key_of(path: Column) -> Column:
+    """The path's segments joined by `/`, at least two of them (empty where there are none).
 
-
-def _generalised(counts: DataFrame, keys: list[str], raw: str, name: str, s: TreeSettings) -> DataFrame:
-    """counts with the column `name`: the segment `raw` under `keys`, or `*` if it varies."""
-    child = counts.groupBy(*keys, raw).agg(F.sum("n").alias("child_n"))
-    constant = child.where((F.col(raw) != "*") & (F.col("child_n") >= s.min_rows)).select(*keys, raw, F.col(raw).alias(name))
-    return counts.join(constant, [*keys, raw], "left").withColumn(name, F.coalesce(F.col(name), F.lit("*")))
+    Digits only (and an extension) are a wildcard; slashes at the end count for nothing.
+    """
+    parts = F.split(F.regexp_replace(path, r"/+\z", ""), "/")
+    parts = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.when(p.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"), F.lit("*")).otherwise(p))
+    return F.concat_ws("/", F.concat(parts, F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.lit(2) - F.size(parts)))))
 
 
 def _similar(n1: Column, b1: Column, n2: Column, b2: Column, z2: float) -> Column:
@@ -104,36 +102,70 @@ def _similar(n1: Column, b1: Column, n2: Column, b2: Column, z2: float) -> Colum
     return F.coalesce(gap * gap < z2 * spread, F.lit(True)) | (p * (1 - p) == 0)
 
 
+def _grown(live: DataFrame, nodes: DataFrame, level: int, s: TreeSettings) -> tuple[DataFrame, DataFrame]:
+    """One more level: live with the nodes of that level, and those nodes with the labels that they are judged by."""
+    raw = live.withColumn("raw", F.coalesce(F.get(F.split("key", "/"), level - 1), F.lit("")))
+    child = raw.groupBy("host", "node", "raw").agg(F.sum("n").alias("child_n"), F.sum("labelled").alias("nl"), F.sum("bad").alias("nb"))
+    child = child.withColumn("step", F.when((F.col("raw") != "*") & (F.col("child_n") >= s.min_rows), F.col("raw")).otherwise(F.lit("*")))
+    below = F.concat_ws("/", "node", "step")
+    differs = ~_similar(F.col("nl"), F.col("nb"), F.col("l") - F.col("nl"), F.col("b") - F.col("nb"), s.z2)
+    grown = child.groupBy("host", "node", "step").agg(F.sum("nl").alias("nl"), F.sum("nb").alias("nb")).join(nodes, ["host", "node"])
+    grown = grown.select(
+        "host", below.alias("node"), F.col("nl").alias("l"), F.col("nb").alias("b"), "l0", "b0",
+        F.when(differs, F.col("nl")).otherwise(F.col("ml")).alias("ml"), F.when(differs, F.col("nb")).otherwise(F.col("mb")).alias("mb"),
+    )
+    steps = child.select("host", "node", "raw", "step")
+    return raw.join(steps, ["host", "node", "raw"]).select("host", "key", "n", "labelled", "bad", below.alias("node")), grown
+
+
 def template_verdicts(parsed: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
-    """host, s1, s2 -> template, purity, rejected. parsed: host, s1, s2, bad (1, 0 or null)."""
+    """host, key -> template, purity, rejected. parsed: host, key (of key_of), bad (1, 0 or null).
+
+    The first two levels are there for all; below, a node goes on while its paths do and can differ: one path alone, or
+    fewer rows than a constant needs, give one branch with the node's own labels.
+    """
     s = settings
-    counts = cut(
-        parsed.groupBy("host", "s1", "s2").agg(
+    live = cut(
+        parsed.groupBy("host", "key").agg(
             F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
         ),
         "urls",
     )
-    total = counts.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()
+    segments = F.size(F.split("key", "/"))
+    total = live.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.max(segments).alias("depth")).first()
     prior = total["b"] / total["n"] if total["n"] else 0.0
-    tree = _generalised(_generalised(counts, ["host"], "s1", "t1", s), ["host", "t1"], "s2", "t2", s)
-    sums = lambda *keys, n, b: tree.groupBy(*keys).agg(F.sum("labelled").alias(n), F.sum("bad").alias(b))
-    leaves = (
-        sums("host", "t1", "t2", n="n2", b="b2")
-        .join(sums("host", "t1", n="n1", b="b1"), ["host", "t1"])
-        .join(sums("host", n="n0", b="b0"), ["host"])
-    )
-    c = {k: F.col(k) for k in ("n0", "b0", "n1", "b1", "n2", "b2")}
-    wide = _similar(c["n1"], c["b1"], c["n0"] - c["n1"], c["b0"] - c["b1"], s.z2)
-    deep = _similar(c["n2"], c["b2"], c["n1"] - c["n2"], c["b1"] - c["b2"], s.z2)
-    leaves = leaves.withColumns({"m1n": F.when(wide, c["n0"]).otherwise(c["n1"]), "m1b": F.when(wide, c["b0"]).otherwise(c["b1"])})
-    leaves = leaves.withColumns({"mn": F.when(deep, F.col("m1n")).otherwise(c["n2"]), "mb": F.when(deep, F.col("m1b")).otherwise(c["b2"])})
-    at_host = (c["b0"] + s.smoothing * F.lit(prior)) / (c["n0"] + s.smoothing)
-    judged = leaves.withColumn("purity", (F.col("mb") + s.smoothing * at_host) / (F.col("mn") + s.smoothing)).select(
-        "host", "t1", "t2", "purity", (F.col("purity") >= s.reject_at).alias("rejected")
-    )
-    return tree.join(judged, ["host", "t1", "t2"]).select(
-        "host", "s1", "s2", F.concat_ws("/", "host", "t1", "t2").alias("template"), "purity", "rejected"
-    )
+
+    def judged(done: DataFrame, nodes: DataFrame) -> DataFrame:
+        at_host = (F.col("b0") + s.smoothing * F.lit(prior)) / (F.col("l0") + s.smoothing)
+        verdicts = nodes.withColumn("purity", (F.col("mb") + s.smoothing * at_host) / (F.col("ml") + s.smoothing)).select("host", "node", "purity", (F.col("purity") >= s.reject_at).alias("rejected"))
+        return done.join(verdicts, ["host", "node"]).select("host", "key", "template", "purity", "rejected")
+
+    sums = F.sum("labelled"), F.sum("bad")
+    nodes = live.groupBy("host").agg(*[x.alias(c) for x, c in zip(sums * 3, ("l", "b", "ml", "mb", "l0", "b0"), strict=True)]).withColumn("node", F.col("host"))
+    live = live.withColumn("node", F.col("host"))
+    for level in (1, 2):
+        live, nodes = _grown(live, nodes, level, s)
+    if (total["depth"] or 0) <= 2:
+        return judged(live.withColumn("template", F.col("node")), nodes)
+    found, level = [], 3
+    while True:
+        nodes = cut(nodes, "url-nodes")
+        live = cut(live, "url-paths")
+        stats = live.groupBy("host", "node").agg(F.max(segments).alias("deep"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("paths"))
+        live = cut(live.join(stats, ["host", "node"]), "url-branches")
+        goes_on = (F.col("deep") >= level) & (F.col("rows") >= s.min_rows) & (F.col("paths") > 1)
+        rest = F.concat_ws("/", F.slice(F.split("key", "/"), level, F.greatest(F.lit(0), segments - (level - 1))))
+        template = F.when(F.col("deep") < level, F.col("node")).otherwise(F.concat_ws("/", "node", F.when(F.col("rows") >= s.min_rows, rest).otherwise(F.lit("*"))))
+        found.append(judged(live.where(~goes_on).withColumn("template", template), nodes))
+        live = live.where(goes_on).select("host", "key", "n", "labelled", "bad", "node")
+        if live.isEmpty():
+            break
+        live, nodes = _grown(live, nodes, level, s)
+        level += 1
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 def filter_urls(pages: DataFrame, url: str, rules: tuple[Rule, ...], label: str | None = None, settings: TreeSettings = TreeSettings()) -> DataFrame:
@@ -141,17 +173,17 @@ def filter_urls(pages: DataFrame, url: str, rules: tuple[Rule, ...], label: str
 
     Columns of pages that have such a name already are replaced. label: a column of pages with 1 (bad), 0 (good) or null; without one, the rules label.
     """
-    s1, s2, added = "url_s1", "url_s2", ("url_host", "url_path", "url_rule", "url_said", "url_s1", "url_s2", "url_verdict", "url_template", "url_purity", "url_rejected")
+    added = ("url_host", "url_path", "url_rule", "url_said", "url_key", "url_verdict", "url_template", "url_purity", "url_rejected")
     own = [c for c in pages.columns if c not in added]
     host, path = host_of(F.col(f"`{url}`")), path_of(F.col(f"`{url}`"))
     rows = pages.select(*[F.col(f"`{c}`") for c in own], host.alias("url_host"), path.alias("url_path"))
     text, verdict = rule_of(F.col("url_host"), F.col("url_path"), rules)
-    rows = rows.withColumns({"url_rule": text, "url_said": verdict, s1: segment(F.col("url_path"), 1), s2: segment(F.col("url_path"), 2)})
+    rows = rows.withColumns({"url_rule": text, "url_said": verdict, "url_key": key_of(F.col("url_path"))})
     bad = F.when(F.col("url_said") == "block", 1).when(F.col("url_said") == "allow", 0) if label is None else F.col(f"`{label}`")
-    judged = template_verdicts(rows.select(F.col("url_host").alias("host"), F.col("url_s1").alias("s1"), F.col("url_s2").alias("s2"), bad.alias("bad")), settings)
-    judged = judged.select(F.col("host").alias("url_host"), F.col("s1").alias("url_s1"), F.col("s2").alias("url_s2"), F.col("template").alias("url_template"), F.col("purity").alias("url_purity"), F.col("rejected").alias("url_rejected"))
+    judged = template_verdicts(rows.select(F.col("url_host").alias("host"), F.col("url_key").alias("key"), bad.alias("bad")), settings)
+    judged = judged.select(F.col("host").alias("url_host"), F.col("key").alias("url_key"), F.col("template").alias("url_template"), F.col("purity").alias("url_purity"), F.col("rejected").alias("url_rejected"))
     judge = F.when(F.col("url_rejected"), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(judged, ["url_host", "url_s1", "url_s2"], "left").select(
+    return rows.join(judged, ["url_host", "url_key"], "left").select(
         *[F.col(f"`{c}`") for c in own],
         "url_host",
         "url_path",

@@ -57,6 +57,16 @@ def test_small_sections_of_a_large_host(spark):
     assert {tuple(r) for r in got} == {("h/news/*", "allow"), ("h/spam/*", "block"), ("h/help/*", "allow"), ("h/shop/*", "allow")}
 
 
+def test_labels_differ_below_the_second_segment(spark):
+    rows = [(f"http://h/shop/items/{kind}/{i}", int(kind == "spam")) for kind in ("spam", "news") for i in range(30)]
+    rows += [(f"http://h/shop/all/by/{kind}/{i}/view", int(kind == "spam")) for kind in ("spam", "news") for i in range(30)]
+    rows += [("http://h/shop/items", 0)] * 3 + [("http://h/one/two/three/4/five", None)] * 3 + [("http://h/shop/items/spam/new/", None), ("http://h/shop/all/by/news/99/view", None)]
+    got = {r["url"]: r for r in U.filter_urls(spark.createDataFrame(rows, "url string, label int"), "url", (), label="label").collect()}
+    assert all(r["url_verdict"] == ("block" if "/spam/" in u else "allow") for u, r in got.items())
+    assert got["http://h/shop/items/spam/1"]["url_template"] == "h/shop/items/spam/*" and got["http://h/shop/all/by/news/99/view"]["url_template"] == "h/shop/all/by/news/*/view"
+    assert got["http://h/one/two/three/4/five"]["url_template"] == "h/one/two/three/*/five"
+
+
 def test_empty_and_repeated(spark):
     pages = spark.createDataFrame([("http://a.net/x",)] * 3, "url string")
     assert U.filter_urls(pages, "url", U.RULES).count() == 3 and U.filter_urls(pages.where("false"), "url", U.RULES).count() == 0
