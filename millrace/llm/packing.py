@@ -5,7 +5,7 @@ dealt by a hash to blocks of a few thousand, and each block is packed on its own
 local search over the underfull bins. The search takes the emptiest bin and moves a document to where it fits
 best, or exchanges it for one smaller document of another bin, or for two, whenever that raises the sum of
 squared fills: so the emptiest bins get emptier until they are empty and go. It ends at the lower bound
-(total length over capacity, rounded up), or when no exchange helps, or after a bounded number of them.
+(total length over capacity, rounded up), or when no exchange helps.
 What a block loses against packing all at once is less than a bin.
 
 Defined results: a null or empty text is the closing id alone. Repeated rows are packed each. A block is
@@ -18,7 +18,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -146,78 +147,86 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, most_steps: int = 500) -> list[list[int]]:
-    """Fewer bins, if exchanges between underfull bins can empty some; no bin gets over capacity."""
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Fewer bins, if exchanges between underfull bins can empty some; no bin gets over capacity.
+
+    Every exchange raises the sum of squared fills, so the search ends. A bin that found none is asked again after
+    others changed, against those alone.
+    """
     fills = [sum(lengths[i] for i in b) for b in bins]
-    least = math.ceil(sum(fills) / capacity)
-    alive = {b for b in range(len(bins)) if bins[b]}
-    steps, stuck = 0, set()
-    while len(alive) > least and steps < most_steps:
-        open_ = [b for b in alive if fills[b] < capacity and b not in stuck]
-        if len(open_) < 2:
-            break
-        source = min(open_, key=lambda b: (fills[b], b))
-        moved = _improve(source, sorted((b for b in alive if b != source and fills[b] < capacity), key=lambda b: (-fills[b], b)), bins, fills, lengths, capacity)
-        steps += 1
-        if not moved:
+    inside = [sorted((lengths[i], i) for i in b) for b in bins]
+    least, left = math.ceil(sum(fills) / capacity), sum(map(bool, bins))
+    order = sorted((-fills[b], b) for b in range(len(bins)) if bins[b] and fills[b] < capacity)  # underfull bins, the fullest first
+    waiting, stuck, changed = [(-f, b) for f, b in reversed(order)], set(), False
+    heapify(waiting)
+    clock, stamp, tested = 0, [0] * len(bins), [-1] * len(bins)
+    while left > least and len(order) > 1:
+        if not waiting:
+            if not changed:
+                break
+            waiting, stuck, changed = [(-f, b) for f, b in reversed(order)], set(), False
+            heapify(waiting)
+            continue
+        fill, source = heappop(waiting)
+        if fill != fills[source] or source in stuck or not inside[source]:
+            continue
+        since = tested[source] if stamp[source] <= tested[source] else -1
+        found = _exchange(source, order, since, stamp, inside, fills, capacity)
+        if found is None:
             stuck.add(source)
-        if not bins[source]:
-            alive.discard(source)
-            stuck.clear()
-    return [b for b in bins if b]
-
-
-def _improve(source: int, targets: list[int], bins: list[list[int]], fills: list[int], lengths: list[int], capacity: int) -> bool:
-    """One exchange that takes length out of the source bin: a move, one for one or one for two."""
-    own = sorted(bins[source], key=lambda i: -lengths[i])
-    for i in own:  # a move to where it fits best: the fullest target with room
-        for t in targets:
-            if lengths[i] <= capacity - fills[t]:
-                _swap(source, t, [i], [], bins, fills, lengths)
-                return True
-    for t in targets:
-        free = capacity - fills[t]
-        theirs = sorted((lengths[j], j) for j in bins[t])
-        sizes = [n for n, _ in theirs]
-        for i in own:
-            n = lengths[i]
+            tested[source] = clock
+            continue
+        target, out, back = found
+        clock, changed = clock + 1, True
+        d = sum(n for n, _ in out) - sum(n for n, _ in back)
+        for b, gone, come, by in ((source, out, back, -d), (target, back, out, d)):
+            del order[bisect_left(order, (-fills[b], b))]
+            inside[b] = sorted([x for x in inside[b] if x not in gone] + come)
+            fills[b] += by
+            stamp[b] = clock
+            if inside[b] and fills[b] < capacity:
+                insort(order, (-fills[b], b))
+                if b not in stuck:
+                    heappush(waiting, (fills[b], b))
+        if not inside[source]:
+            left -= 1
+    return [[i for _, i in b] for b in inside if b]
+
+
+def _exchange(source: int, order: list[tuple[int, int]], since: int, stamp: list[int], inside: list[list[tuple[int, int]]], fills: list[int], capacity: int) -> tuple[int, list, list] | None:
+    """The target, what it gets and gives of the first exchange that takes length out of the source bin and raises the
+    sum of squared fills: a move, one for one, one for two or two for one. Targets that have not changed since are left out."""
+    own, fill = inside[source][::-1], fills[source]
+    for x in own:  # a move to where it fits best: the fullest target with room
+        for at in range(bisect_left(order, (x[0] - capacity, -1)), len(order)):
+            t = order[at][1]
+            if t != source and x[0] + fills[t] > fill:
+                return t, [x], []
+            if x[0] + fills[t] <= fill and t != source:
+                break  # those after it are emptier
+    pairs = [(own[x][0] + own[y][0], own[x], own[y]) for x in range(len(own) - 1) for y in range(x + 1, len(own))]
+    for f, t in order:
+        if t == source or stamp[t] <= since:
+            continue
+        free, theirs = capacity + f, inside[t]
+        least = fill + f  # an exchange raises the sum if what goes over is more than this
+        for x in own:
+            n = x[0]
             # one for one: the smaller comes back; the most that fits goes over
-            at = bisect_left(sizes, n - free)
-            if at < len(sizes) and sizes[at] < n and _gains(n - sizes[at], fills[source], fills[t]):
-                _swap(source, t, [i], [theirs[at][1]], bins, fills, lengths)
-                return True
+            at = bisect_left(theirs, (n - free,))
+            if at < len(theirs) and (d := n - theirs[at][0]) > 0 and d > least:
+                return t, [x], [theirs[at]]
             # one for two: their sum is smaller, by no more than what is free
             for a in range(len(theirs) - 1):
-                b = bisect_left(sizes, n - free - sizes[a], a + 1)
-                if b < len(sizes) and sizes[a] + sizes[b] < n and _gains(n - sizes[a] - sizes[b], fills[source], fills[t]):
-                    _swap(source, t, [i], [theirs[a][1], theirs[b][1]], bins, fills, lengths)
-                    return True
+                b = bisect_left(theirs, (n - free - theirs[a][0],), a + 1)
+                if b < len(theirs) and (d := n - theirs[a][0] - theirs[b][0]) > 0 and d > least:
+                    return t, [x], [theirs[a], theirs[b]]
         # two for one: two of the source's for a smaller one of the target's
-        for x in range(len(own) - 1):
-            for y in range(x + 1, len(own)):
-                n = lengths[own[x]] + lengths[own[y]]
-                at = bisect_left(sizes, n - free)
-                if at < len(sizes) and sizes[at] < n and _gains(n - sizes[at], fills[source], fills[t]):
-                    _swap(source, t, [own[x], own[y]], [theirs[at][1]], bins, fills, lengths)
-                    return True
-    return False
-
-
-def _gains(d: int, source: int, target: int) -> bool:
-    """Whether taking d from one fill to the other raises the sum of squares."""
-    return (source - d) ** 2 + (target + d) ** 2 > source**2 + target**2
-
-
-def _swap(source: int, target: int, out: list[int], back: list[int], bins: list[list[int]], fills: list[int], lengths: list[int]) -> None:
-    for i in out:
-        bins[source].remove(i)
-        bins[target].append(i)
-    for j in back:
-        bins[target].remove(j)
-        bins[source].append(j)
-    d = sum(lengths[i] for i in out) - sum(lengths[j] for j in back)
-    fills[source] -= d
-    fills[target] += d
+        for n, x, y in pairs:
+            at = bisect_left(theirs, (n - free,))
+            if at < len(theirs) and (d := n - theirs[at][0]) > 0 and d > least:
+                return t, [x, y], [theirs[at]]
+    return None
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:

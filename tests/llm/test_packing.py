@@ -1,5 +1,6 @@
 """Packing: what is packed, that it fits, and that local search helps."""
 
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -52,6 +53,28 @@ def test_local_search_empties_bins():
     assert len(P.local_search(first, lengths, 4096)) < before
 
 
+def test_local_search_has_no_cap():
+    draw = random.Random(1)
+    lengths = [draw.randint(900, 2100) for _ in range(4096)]
+    first = P.best_fit(lengths, 4096)
+    found = P.local_search([list(b) for b in first], lengths, 4096)
+    assert valid(found, lengths, 4096) and len(first) - len(found) >= 39  # 4 of them within 500 steps
+
+
+def test_local_search_ends_where_no_exchange_helps():
+    draw = random.Random(3)
+    lengths = [draw.randint(900, 2100) for _ in range(120)]
+    found = P.local_search(P.best_fit(lengths, 4096), lengths, 4096)
+    assert len(found) > -(-sum(lengths) // 4096)
+    sums = [sum(lengths[i] for i in b) for b in found]
+    for a, b in itertools.permutations(range(len(found)), 2):
+        for gone, come in ((1, 0), (1, 1), (1, 2), (2, 1)):
+            for x in itertools.combinations(found[a], gone):
+                for y in itertools.combinations(found[b], come):
+                    d = sum(lengths[i] for i in x) - sum(lengths[i] for i in y)
+                    assert not (0 < d <= 4096 - sums[b] and sums[b] + d > sums[a])
+
+
 def rows_are_right(rows, docs, library, capacity):
     sequences, of = defaultdict(list), defaultdict(list)
     for r in rows:
