@@ -111,3 +111,11 @@ def test_edges(spark, library):
     assert P.pack_documents(frame.where("false"), PATH).count() == 0
     twice = P.pack_documents(frame.union(frame).where("doc_id = 4"), PATH).collect()
     assert len(twice) == 2 and {r["offset"] for r in twice} == {0, 3}
+
+
+def test_no_value_makes_a_block_large(spark):
+    frame = spark.createDataFrame([(None, "a b c"), (7, "a b c")] * 300, "doc_id long, text string")
+    rows = P.pack_documents(frame, PATH, capacity=40, in_block=50).collect()
+    assert len(rows) == 600 and len({r["sequence_id"] >> 32 for r in rows}) == 12
+    long = P.pack_documents(spark.createDataFrame([(1, "word " * 40_000)], "doc_id long, text string"), PATH, capacity=40, in_block=50).collect()
+    assert len(long) == 1001 and len({r["sequence_id"] >> 32 for r in long}) > 15  # blocks are counted by pieces
