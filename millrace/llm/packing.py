@@ -14,6 +14,7 @@ bounded by its expected number of pieces whatever the corpus' size; no group dep
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import re
@@ -124,13 +125,19 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder in each Python process, so what it knows serves all of the process' tasks."""
+    return Encoder(path)
+
+
 def pieces(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """key, piece, start, length, ids_crc32 of every piece."""
     kind = dict(documents.select(F.col(f"`{key}`")).dtypes)[key]
     closing = CLOSING.to_bytes(4, "little")
 
     def make():
-        encode = Encoder(path).encode
+        encode = encoder(path).encode
 
         def work(batch: dict) -> dict:
             out: dict = {key: [], "piece": [], "start": [], "length": [], "ids_crc32": []}
