@@ -69,17 +69,52 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Remove the files of a table that cut() made and that nothing reads any more."""
+    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for entry in [e for e in _WRITTEN if any(p.endswith(e[1].rsplit("/", 1)[1]) for p in paths)]:
+        _WRITTEN.remove(entry)
+        _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _WRITTEN:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session has ended already
             return
 
 
+#: A key is hot if it has more than this share of a table's rows; so there are no more hot keys than this.
+MOST_HOT = 4096
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], by: str, counts: DataFrame, total: int, how: str = "inner", least: int = 256) -> DataFrame:
+    """left joined with right on key, where one key may have any share of left's rows and has one row of right.
+
+    Hot keys' rows are dealt by a hash of the column `by` to as many tasks as it takes, and their rows of right are
+    repeated for each. counts: key, n - how many rows of left a key has; total: how many left has (or a bound). Hot keys come
+    to the driver: MOST_HOT of them at most. Keys must not be null.
+    """
+    keys = [key] if isinstance(key, str) else key
+    part = max(least, total // MOST_HOT)
+    hot = counts.where(F.col("n") > part).select(*keys, F.ceil(F.col("n") / part).cast("int").alias("spread_ways"))
+    rows = hot.collect()
+    if not rows:
+        return left.join(right, keys, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema))  # at most total / part rows
+    ways = F.coalesce("spread_ways", F.lit(1))
+    dealt = left.join(hot, keys, "left").withColumn("spread", F.pmod(F.xxhash64(by), ways).cast("int")).drop("spread_ways")
+    each = right.join(hot, keys, "left").withColumn("spread", F.explode(F.sequence(F.lit(0), ways - 1))).drop("spread_ways")
+    return dealt.join(each, [*keys, "spread"], how).drop("spread")
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """Arrow in, Arrow out: make() runs once in each Python worker task and gives the
     function from a dict of column lists to a dict of column lists of the result.

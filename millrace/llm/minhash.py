@@ -4,27 +4,30 @@
    of hash functions 32 band keys (four minima each) and a b-bit signature: the lowest two bits of each minimum,
    packed by bit plane into four 64-bit words. Two sets of similarity 0.85 (0.8) share no band key with probability
    6e-11 (5e-8).
-2. Texts with one set are one node, named by the smallest id. Only nodes go on, so copies cost nothing more.
+2. Texts with one set are one node, whatever their ids. Only nodes go on, so copies cost nothing more.
 3. In each bucket of a band every node is paired with the bucket's smallest. The signatures' agreement, a bit count,
    corrected for chance collisions, estimates a pair's similarity; pairs that are at least `slack` (more than six
    standard deviations) below the threshold go. The rest is confirmed on the full sets, and confirmed links are joined to components.
-4. Buckets that then hold several components may still hide a link between two nodes of which neither is the bucket's
-   smallest. Their nodes form families. A family is dealt to blocks, and pairs of blocks to tasks ("tiles"), which
-   compare full sets and give a spanning forest of the links. Two blocks of one large component aren't compared, so a
-   component of many nodes costs only its comparison with what it isn't linked with yet.
-5. Components of all links together.
+4. Buckets whose other nodes are of several components may still hide a link. Their nodes are dealt to blocks, and pairs of
+   blocks to "tiles", which compare signatures alone: families are what the pairs join that pass the estimate, so band keys that
+   agree by chance make none. A family is dealt to tiles in the same way, which compare full sets and give a
+   spanning forest of the links. Two blocks of one large component aren't compared, so a component of many nodes
+   costs only its comparison with what it isn't linked with yet.
+5. Components of all links together, each named by its smallest id.
 
-Links between two texts are lost only if they share no band key. No group is collected: buckets, components and
-families are dealt with by partial minima and joins; a tile is bounded. Nothing but counts reaches the driver.
+Links between two texts are lost only if they share no band key, or by the slack. No group is collected: buckets, components
+and families are dealt with by partial minima and joins that spread hot keys (`spread_join`); a tile is bounded.
+Nothing but counts and hot keys, a bounded number, reaches the driver.
 
 Defined results: null, empty and wordless texts have no shingles and are linked with nothing. A text with fewer
-words than a shingle has one shingle, its whole sequence. Repeated rows get the same component; rows that share an id
-are one document. A null id is linked with nothing: null component, kept. Empty tables give empty results.
+words than a shingle has one shingle, its whole sequence. Repeated rows get the same component. Rows that share an id but not
+the text are judged each by its own text. A null id is linked with nothing: null component, kept. Empty tables
+give empty results. `one_of_each` keeps one row of every group, also of repeated rows and of rows without id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, cut, table
+from millrace.llm.common import bounded_batches, cut, release, spread_join, table
 
 HASHES, BANDS, BITS = 128, 32, 2
 ROWS = HASHES // BANDS
@@ -45,7 +48,7 @@ class NearSettings:
     words: int = 5  # in a shingle
     percent: int = 80  # least similarity: intersection over union
     slack: float = 0.25  # an estimate so much below the threshold is no candidate
-    block: int = 128  # nodes of a family in one block
+    block: int = 128  # nodes of a family (or bucket) in one block
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +103,7 @@ def signature(least: np.ndarray) -> np.ndarray:
 
 
 def features(documents: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n, set_id, bands array<long>, signature array<long> of every document."""
+    """id, n, set_id, bands array<long>, signature array<long> of every document, and row, a number of its own."""
     longs = pa.list_(pa.int64())
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_id", pa.binary()), ("bands", longs), ("signature", longs)])
 
@@ -111,27 +114,33 @@ def features(documents: DataFrame, words: int, key: str = "doc_id", text: str =
             columns = [
                 batch.column(0).cast(pa.int64()),
                 [len(s) for s in sets],
-                [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+                list(map(set_digest, sets)),
                 [band_keys(m) if len(s) else None for m, s in zip(least, sets, strict=True)],
                 [signature(m) if len(s) else None for m, s in zip(least, sets, strict=True)],
             ]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     bounded_batches(documents.sparkSession)
-    return documents.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, "id long, n long, set_id binary, bands array<long>, signature array<long>")
+    found = documents.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, "id long, n long, set_id binary, bands array<long>, signature array<long>")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
-def full_sets(documents: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, shingles array<long>: the whole set of every document."""
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+def set_digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def full_sets(texts: DataFrame, words: int) -> DataFrame:
+    """node, shingles array<long> of the rows (text, node, set_id) whose text has the set."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, type=schema.field(1).type)], schema=schema)
+            sets = [shingles(t, words) for t in batch.column(0).to_pylist()]
+            same = [i for i, (s, d) in enumerate(zip(sets, batch.column(2).to_pylist(), strict=True)) if set_digest(s) == d]
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(same, type=pa.int64())), pa.array([sets[i].view(np.int64) for i in same], type=schema.field(1).type)], schema=schema)
 
-    bounded_batches(documents.sparkSession)
-    return documents.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, "id long, shingles array<long>")
+    bounded_batches(texts.sparkSession)
+    return texts.select("text", "node", "set_id").mapInArrow(run, "node long, shingles array<long>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -162,40 +171,97 @@ def components(edges: DataFrame) -> DataFrame:
         if (check["n"], check["h"]) == state or not check["n"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
         state = (check["n"], check["h"])
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        up = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        least = now.union(up).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = spread_join(up, least, "a", "b", up.groupBy("a").agg(F.count(F.lit(1)).alias("n")), check["n"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(smallest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(smallest.select("a", F.col("m").alias("b")))
-        now = cut(small.distinct(), "edges")
+        before, now = now, cut(small.distinct(), "edges")
+        release(before)
 
 
-def labelled(rows: DataFrame, labels: DataFrame, node: str) -> DataFrame:
-    """rows with `comp`: the label of `node`, or itself."""
-    named = labels.select(F.col("node").alias(node), F.col("label").alias("comp"))
-    return rows.join(named, node, "left").withColumn("comp", F.coalesce("comp", node))
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with `comp`: the label of `node`, or itself. A node has a bounded number of rows."""
+    return rows.join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def in_tiles(members: DataFrame, block: int) -> DataFrame:
-    """family, node, comp -> the same with `tile`: every two nodes of a family in different components meet in a tile.
+    """family, node, comp -> the same with the tile (low, high): every two nodes of a family in different components meet in a tile.
 
     Components of at least `block` nodes have blocks of their own; smaller ones share blocks by their hash. A tile is
     a pair of blocks (or one with itself), but not two of one large component, nor one of these with itself.
+    members is a written table.
     """
-    sizes = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("size"))
-    rest = sizes.where(F.col("size") < block).groupBy("family").agg(F.sum("size").alias("rest"))
-    own = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("long")
-    shared = F.pmod(F.xxhash64("comp"), F.ceil(F.col("rest") / block)).cast("long")
-    placed = members.join(sizes, ["family", "comp"]).join(rest, "family", "left")
-    large = F.col("size") >= block
-    placed = placed.select("family", "node", "comp", F.struct(F.when(large, F.col("comp")).alias("of"), F.when(large, own).otherwise(shared).alias("k")).alias("at"))
-    blocks = placed.select("family", "at").distinct().groupBy("family").agg(F.collect_list("at").alias("others"))
-    met = placed.join(blocks, "family").withColumn("other", F.explode("others")).drop("others")
+    total = members.count()
+    sizes = cut(members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.ceil(n / block).cast("long") - 1)
+    at = lambda of, k: F.struct(of.alias("of"), k.alias("k"))
+    large = sizes.where(F.col("n") >= block).select("family", "comp", F.explode(upto(F.col("n"))).alias("k")).select("family", at(F.col("comp"), F.col("k")).alias("at"))
+    rest = sizes.where(F.col("n") < block).groupBy("family").agg(F.sum("n").alias("rest"))
+    shared = rest.select("family", F.explode(upto(F.col("rest"))).alias("k")).select("family", at(F.lit(None).cast("long"), F.col("k")).alias("at"))
+    blocks = large.union(shared).groupBy("family").agg(F.collect_list("at").alias("others")).join(rest, "family", "left")
+    placed = spread_join(members, sizes, ["family", "comp"], "node", sizes, total)
+    placed = spread_join(placed, blocks, "family", "node", sizes.groupBy("family").agg(F.sum("n").alias("n")), total)
+    own = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block)).cast("long")
+    among = F.pmod(F.xxhash64("comp"), F.ceil(F.col("rest") / block)).cast("long")
+    is_large = F.col("n") >= block
+    placed = placed.withColumn("at", at(F.when(is_large, F.col("comp")), F.when(is_large, own).otherwise(among)))
+    met = placed.withColumn("other", F.explode("others"))
     same_large = F.col("at.of").isNotNull() & F.col("at.of").eqNullSafe(F.col("other.of"))
     return met.where(~same_large).select("family", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"), "node", "comp")
 
 
-def forest(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+def by_tile(tiles: DataFrame, what: DataFrame, find: Callable[[pd.DataFrame], list[tuple[int, int]]], in_task: int) -> DataFrame:
+    """a, b: what find() gives for each tile's nodes with their row of `what`. Tiles are many and small, so a call to Python gets some of them, of about `in_task` rows."""
+    tiles = cut(tiles.select(F.xxhash64("family", "low", "high").alias("tile"), "node", "comp"), "tiles")
+    calls = max(1, tiles.count() // in_task)
+
+    def work(some: pd.DataFrame) -> pd.DataFrame:
+        out = [pair for _, tile in some.groupby("tile", sort=False) for pair in find(tile.reset_index(drop=True))]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return tiles.join(what, "node").withColumn("call", F.pmod("tile", F.lit(calls))).groupBy("call").applyInPandas(work, "a long, b long")
+
+
+class _Union:
+    """Union-find over any numbers."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        above = self.above
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
+        p, q = self.top(a), self.top(b)
+        if p != q:
+            self.above[max(p, q)] = min(p, q)
+        return p != q
+
+
+def likely_forest(rows: pd.DataFrame, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of nodes in different components whose signatures' estimate is at least so much."""
+    rows = rows.drop_duplicates("node", ignore_index=True)
+    planes, half = np.stack(rows["signature"].to_list()), HASHES // 64
+    differ = np.zeros((len(rows), len(rows)), dtype=np.int64)
+    for word in range(half):
+        bits = np.zeros(differ.shape, dtype=np.int64)
+        for plane in range(BITS):
+            x = planes[:, plane * half + word]
+            bits |= x[:, None] ^ x[None, :]
+        differ += np.bitwise_count(bits)
+    chance, comp, nodes = 2.0**-BITS, rows["comp"].to_numpy(), rows["node"].tolist()
+    likely = ((1 - differ / HASHES - chance) / (1 - chance) >= least) & (comp[:, None] != comp[None, :])
+    joined = _Union()
+    return [(nodes[i], nodes[j]) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(likely))), strict=True) if joined.join(nodes[i], nodes[j])]
+
+
+def forest(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links of a spanning forest among the rows (node, comp, shingles) of a tile, between different components."""
     rows = rows.drop_duplicates("node", ignore_index=True)
     n = len(rows)
@@ -215,64 +281,85 @@ def forest(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         part[owner[a:b], column[a:b] - low] = 1
         common += part @ part.T
     union = sizes[:, None] + sizes[None, :] - common
-    comp = rows["comp"].to_numpy()
+    comp, nodes, joined = rows["comp"].to_numpy(), rows["node"].tolist(), _Union()
     links = (100 * common >= percent * union) & (common > 0) & (comp[:, None] != comp[None, :])
-    above: dict[int, int] = {}
+    return [(nodes[i], nodes[j]) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(links))), strict=True) if joined.join(int(comp[i]), int(comp[j]))]
 
-    def top(x: int) -> int:
-        while (up := above.get(x, x)) != x:
-            above[x] = above.get(up, up)
-            x = up
-        return x
 
-    out = []
-    nodes = rows["node"].to_numpy()
-    for i, j in zip(*np.nonzero(np.triu(links)), strict=True):
-        p, q = top(int(comp[i])), top(int(comp[j]))
-        if p != q:
-            above[max(p, q)] = min(p, q)
-            out.append((int(nodes[i]), int(nodes[j])))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+def unrepeated(documents: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
+    """documents without rows that repeat an id with its text; only ids that repeat are grouped."""
+    again = cut(known.where("n > 0").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND id IS NOT NULL").select(F.col("id").alias(key)), "again")
+    if again.isEmpty():
+        return documents
+    return documents.join(again, key, "left_anti").union(documents.join(again, key, "left_semi").dropDuplicates([key, text]))
 
 
 def near_duplicates(documents: DataFrame, settings: NearSettings = NearSettings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept for every row of documents."""
     s = settings
-    known = cut(features(documents, s.words, key, text), "features")
-    reps = cut(known.where("n > 0 AND id IS NOT NULL").groupBy("set_id").agg(F.min("id").alias("rep")), "reps")
-    nodes = known.join(reps.select(F.col("set_id").alias("rep_set"), F.col("rep").alias("rep_id")), (F.col("id") == F.col("rep_id")) & (F.col("set_id") == F.col("rep_set")), "left_semi").dropDuplicates(["id", "set_id"])
-    banded = nodes.select(F.col("id").alias("node"), F.explode("bands").alias("bucket"))
-    centers = banded.groupBy("bucket").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center <> last")
-    buckets = cut(banded.join(centers.select("bucket", "center"), "bucket"), "buckets")
-    in_buckets = buckets.select("node").distinct()
-    sets = cut(full_sets(documents.join(in_buckets.select(F.col("node").alias(key)), key, "left_semi"), s.words, key, text).dropDuplicates(["id", "shingles"]), "sets")
+    documents = documents.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    known = cut(features(documents, s.words, "doc"), "features")
+    rows = known.count()
+    # a node is a set: the number of one of its rows; rep is the smallest id that has it
+    reps = cut(known.where("n > 0 AND id IS NOT NULL").groupBy("set_id").agg(F.min("row").alias("node"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
+    nodes = known.join(reps.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    centers = cut(banded.groupBy("bucket").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1"), "centers")
+    buckets = cut(spread_join(banded, centers.select("bucket", "center"), "bucket", "node", centers, BANDS * rows), "buckets")
+    in_buckets = nodes.select("node", "set_id", F.col("id").alias("doc"), "signature").join(buckets.select("node").distinct(), "node", "left_semi")
+    in_buckets = cut(in_buckets, "nodes")
+    texts = unrepeated(documents, known, "doc", "text").join(in_buckets.select("doc", "node", "set_id"), "doc")
+    sets = cut(full_sets(texts, s.words), "sets")
 
     # stars: every node with the smallest of each of its buckets
-    pairs = buckets.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    side = lambda c: nodes.select(F.col("id").alias(c), F.col("signature").alias(f"s_{c}"))
-    likely = pairs.join(side("b"), "b").join(side("a"), "a").where(estimate("s_a", "s_b") >= s.percent / 100 - s.slack).select("a", "b")
-    full = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"x_{c}"))
+    pairs = cut(buckets.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    of_a = lambda df: df.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda c: in_buckets.select(F.col("node").alias(c), F.col("signature").alias(f"s_{c}"))
+    likely = spread_join(pairs.join(side("b"), "b"), side("a"), "a", "b", of_a(pairs), pairs.count())
+    likely = cut(likely.where(estimate("s_a", "s_b") >= s.percent / 100 - s.slack).select("a", "b"), "likely")
+    full = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"x_{c}"))
     common = F.size(F.array_intersect("x_a", "x_b"))
     linked = F.col("common") * 100 >= s.percent * (F.size("x_a") + F.size("x_b") - F.col("common"))
-    stars = cut(likely.join(full("b"), "b").join(full("a"), "a").withColumn("common", common).where(linked).select("a", "b"), "links")
+    both = spread_join(likely.join(full("b"), "b"), full("a"), "a", "b", of_a(likely), likely.count())
+    stars = cut(both.withColumn("common", common).where(linked).select("a", "b"), "links")
     labels = components(stars)
 
-    # what stars can't tell: buckets that hold several components
-    placed = cut(labelled(buckets, labels, "node"), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
-    open_ = placed.join(mixed, "bucket")
-    family = components(open_.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
-    members = open_.select("node", "comp").distinct()
-    members = cut(labelled(members.withColumnRenamed("comp", "own"), family, "node").select(F.col("comp").alias("family"), "node", F.col("own").alias("comp")), "members")
-    tiles = in_tiles(members, s.block).join(sets.withColumnRenamed("id", "node"), "node")
-    percent = s.percent
-    more = tiles.groupBy("family", "low", "high").applyInPandas(lambda rows: forest(rows[["node", "comp", "shingles"]], percent), "a long, b long")
+    # what stars can't tell: links between nodes of a bucket that are not its smallest and are in different components
+    placed = cut(labelled(buckets.where("node <> center").select("bucket", "node"), labels), "placed")
+    mixed = cut(placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1").select("bucket", "n"), "mixed")
+    open_ = cut(spread_join(placed, mixed.select("bucket"), "bucket", "node", mixed, BANDS * rows).withColumnRenamed("bucket", "family"), "open")
+    least, percent = s.percent / 100 - s.slack, s.percent
+    maybe = cut(by_tile(in_tiles(open_, s.block), in_buckets.select("node", "signature"), lambda tile: likely_forest(tile, least), 50_000), "maybe")
+    family = components(maybe).withColumnRenamed("label", "family")
+    ends = maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = cut(labelled(ends, labels).join(family, "node", "left").withColumn("family", F.coalesce("family", "node")), "members")
+    more = by_tile(in_tiles(members, s.block), sets, lambda tile: forest(tile, percent), 4_000)
     final = components(stars.union(more))
 
-    named = known.select("id", "n", "set_id").join(reps, "set_id", "left")
-    out = named.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("label", "rep", "id"))
-    # two texts of one id are one document: the id's smallest component
-    return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # the smallest id of each component, for each set and then each row
+    members = cut(final.union(final.select(F.col("label").alias("node"), "label").distinct()).join(reps.drop("n"), "node"), "components")
+    smallest = members.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    smallest = cut(smallest, "smallest")
+    of_set = spread_join(members, smallest.drop("n"), "label", "node", smallest, rows).select("set_id", "component_id")
+    of_set = reps.select("set_id", "rep").join(of_set, "set_id", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id"))
+    own = known.where("id IS NOT NULL").select("id", F.col("n").alias("n_shingles"), "set_id", "row")
+    out = spread_join(own, of_set, "set_id", "row", reps.select("set_id", "n"), rows, "left")
+    out = out.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col("id") == F.col("component_id"))
+    return out.union(known.where("id IS NULL").select("id", "n", "id", F.lit(True)))
+
+
+def one_of_each(documents: DataFrame, settings: NearSettings = NearSettings(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of documents, one of each group of near-duplicates: the one with the smallest key (then null ones, then of repeated rows any)."""
+    size = documents.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(f"`{key}`")).alias("keys")).first()
+    if size["n"] == size["keys"]:
+        dropped = near_duplicates(documents, settings, key, text).where(~F.col("kept")).select(F.col("id").alias(key))
+        return documents.join(dropped, key, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    # a key repeats or is null: rows get numbers of their own
+    numbered = cut(documents.withColumn("near_number", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, settings, "near_number", text).select(F.col("id").alias("near_number"), "component_id")
+    order = F.struct(F.col(f"`{key}`").isNull().alias("last"), F.col(f"`{key}`").alias("key"), F.col("near_number").alias("number"))
+    kept = numbered.select("near_number", order.alias("place")).join(found, "near_number").groupBy("component_id").agg(F.min("place").alias("first"))
+    return numbered.join(kept.select(F.col("first.number").alias("near_number")), "near_number", "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
