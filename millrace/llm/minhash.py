@@ -9,11 +9,13 @@
    corrected for chance collisions, estimates a pair's similarity; pairs that are at least `slack` (more than six
    standard deviations) below the threshold go. The rest is confirmed on the full sets, and confirmed links are joined to components.
 4. Buckets whose other nodes are of several components may still hide a link. Their nodes are dealt to blocks, and pairs of
-   blocks to "tiles", which compare signatures alone: families are what the pairs join that pass the estimate, so band keys that
-   agree by chance make none. A family is dealt to tiles in the same way, which compare full sets and give a
-   spanning forest of the links. Two blocks of one large component aren't compared, so a component of many nodes
-   costs only its comparison with what it isn't linked with yet.
-5. Components of all links together, each named by its smallest id.
+   blocks to "tiles", which compare signatures alone, and give every node's best pair across components and a spanning
+   forest of all such pairs that pass the estimate. These pairs, about two for a node, are confirmed; while a tenth of them are links,
+   which join components, this is done again.
+5. What is left: families are what the last forest joins, so band keys that agree by chance make none. A family is dealt to
+   tiles in the same way, which compare full sets and give a spanning forest of the links. Two blocks of one large
+   component aren't compared, so a component of many nodes costs only its comparison with what it isn't linked with yet.
+6. Components of all links together, each named by its smallest id.
 
 Links between two texts are lost only if they share no band key, or by the slack. No group is collected: buckets, components
 and families are dealt with by partial minima and joins that spread hot keys (`spread_join`); a tile is bounded.
@@ -48,7 +50,8 @@ class NearSettings:
     words: int = 5  # in a shingle
     percent: int = 80  # least similarity: intersection over union
     slack: float = 0.25  # an estimate so much below the threshold is no candidate
-    block: int = 128  # nodes of a family (or bucket) in one block
+    block: int = 128  # nodes of a family in one block
+    sketches: int = 2048  # nodes of a bucket in one block
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -244,21 +247,35 @@ class _Union:
         return p != q
 
 
-def likely_forest(rows: pd.DataFrame, least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of nodes in different components whose signatures' estimate is at least so much."""
+def likely_pairs(rows: pd.DataFrame, least: float) -> list[tuple[int, int]]:
+    """Of the pairs of nodes in different components whose signatures' estimate is at least so much: a spanning forest, and every node's best."""
     rows = rows.drop_duplicates("node", ignore_index=True)
-    planes, half = np.stack(rows["signature"].to_list()), HASHES // 64
-    differ = np.zeros((len(rows), len(rows)), dtype=np.int64)
-    for word in range(half):
-        bits = np.zeros(differ.shape, dtype=np.int64)
-        for plane in range(BITS):
-            x = planes[:, plane * half + word]
-            bits |= x[:, None] ^ x[None, :]
-        differ += np.bitwise_count(bits)
-    chance, comp, nodes = 2.0**-BITS, rows["comp"].to_numpy(), rows["node"].tolist()
-    likely = ((1 - differ / HASHES - chance) / (1 - chance) >= least) & (comp[:, None] != comp[None, :])
-    joined = _Union()
-    return [(nodes[i], nodes[j]) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(likely))), strict=True) if joined.join(nodes[i], nodes[j])]
+    n, planes, half, chance = len(rows), np.stack(rows["signature"].to_list()), HASHES // 64, 2.0**-BITS
+    comp, nodes = rows["comp"].to_numpy(), rows["node"].to_numpy()
+    likely, best = np.zeros((n, n), dtype=bool), np.zeros(n, dtype=np.int64)
+    for low in range(0, n, 256):
+        some = slice(low, low + 256)
+        differ = np.zeros((len(comp[some]), n), dtype=np.int64)
+        for word in range(half):
+            bits = np.zeros(differ.shape, dtype=np.int64)
+            for plane in range(BITS):
+                x = planes[:, plane * half + word]
+                bits |= x[some, None] ^ x[None, :]
+            differ += np.bitwise_count(bits)
+        likely[some] = ((1 - differ / HASHES - chance) / (1 - chance) >= least) & (comp[some, None] != comp[None, :])
+        best[some] = np.where(likely[some], differ, HASHES + 1).argmin(axis=1)
+    todo = likely.any(axis=1)
+    pairs = [(i, int(best[i])) for i in np.flatnonzero(todo).tolist()]
+    for start in np.flatnonzero(todo).tolist():
+        reached = [start] if todo[start] else []
+        while reached:
+            i = reached.pop()
+            todo[i] = False
+            new = np.flatnonzero(likely[i] & todo).tolist()
+            todo[new] = False
+            pairs += [(i, j) for j in new]
+            reached += new
+    return [(int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))) for i, j in pairs]
 
 
 def forest(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
@@ -286,6 +303,14 @@ def forest(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return [(nodes[i], nodes[j]) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(links))), strict=True) if joined.join(int(comp[i]), int(comp[j]))]
 
 
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b; a written table) whose full sets are similar enough."""
+    full = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"x_{c}"))
+    both = spread_join(pairs.join(full("b"), "b"), full("a"), "a", "b", pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), pairs.count())
+    both = both.withColumn("common", F.size(F.array_intersect("x_a", "x_b")))
+    return both.where(F.col("common") * 100 >= percent * (F.size("x_a") + F.size("x_b") - F.col("common"))).select("a", "b")
+
+
 def unrepeated(documents: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
     """documents without rows that repeat an id with its text; only ids that repeat are grouped."""
     again = cut(known.where("n > 0").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND id IS NOT NULL").select(F.col("id").alias(key)), "again")
@@ -313,28 +338,30 @@ def near_duplicates(documents: DataFrame, settings: NearSettings = NearSettings(
 
     # stars: every node with the smallest of each of its buckets
     pairs = cut(buckets.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    of_a = lambda df: df.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     side = lambda c: in_buckets.select(F.col("node").alias(c), F.col("signature").alias(f"s_{c}"))
-    likely = spread_join(pairs.join(side("b"), "b"), side("a"), "a", "b", of_a(pairs), pairs.count())
+    likely = spread_join(pairs.join(side("b"), "b"), side("a"), "a", "b", pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), pairs.count())
     likely = cut(likely.where(estimate("s_a", "s_b") >= s.percent / 100 - s.slack).select("a", "b"), "likely")
-    full = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"x_{c}"))
-    common = F.size(F.array_intersect("x_a", "x_b"))
-    linked = F.col("common") * 100 >= s.percent * (F.size("x_a") + F.size("x_b") - F.col("common"))
-    both = spread_join(likely.join(full("b"), "b"), full("a"), "a", "b", of_a(likely), likely.count())
-    stars = cut(both.withColumn("common", common).where(linked).select("a", "b"), "links")
-    labels = components(stars)
+    stars = cut(confirmed(likely, sets, s.percent), "links")
+    links, labels = stars, components(stars)
 
     # what stars can't tell: links between nodes of a bucket that are not its smallest and are in different components
-    placed = cut(labelled(buckets.where("node <> center").select("bucket", "node"), labels), "placed")
-    mixed = cut(placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1").select("bucket", "n"), "mixed")
-    open_ = cut(spread_join(placed, mixed.select("bucket"), "bucket", "node", mixed, BANDS * rows).withColumnRenamed("bucket", "family"), "open")
     least, percent = s.percent / 100 - s.slack, s.percent
-    maybe = cut(by_tile(in_tiles(open_, s.block), in_buckets.select("node", "signature"), lambda tile: likely_forest(tile, least), 50_000), "maybe")
+    while True:
+        placed = cut(labelled(buckets.where("node <> center").select("bucket", "node"), labels), "placed")
+        mixed = cut(placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1").select("bucket", "n"), "mixed")
+        open_ = cut(spread_join(placed, mixed.select("bucket"), "bucket", "node", mixed, BANDS * rows).withColumnRenamed("bucket", "family"), "open")
+        maybe = cut(by_tile(in_tiles(open_, s.sketches), in_buckets.select("node", "signature"), lambda tile: likely_pairs(tile, least), 50_000).distinct(), "maybe")
+        found, asked = cut(confirmed(maybe, sets, s.percent), "links"), maybe.count()
+        if (right := found.count()):
+            links = links.union(found)
+            labels = components(links)
+        if right * 10 <= asked:
+            break
     family = components(maybe).withColumnRenamed("label", "family")
     ends = maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     members = cut(labelled(ends, labels).join(family, "node", "left").withColumn("family", F.coalesce("family", "node")), "members")
     more = by_tile(in_tiles(members, s.block), sets, lambda tile: forest(tile, percent), 4_000)
-    final = components(stars.union(more))
+    final = components(links.union(more))
 
     # the smallest id of each component, for each set and then each row
     members = cut(final.union(final.select(F.col("label").alias("node"), "label").distinct()).join(reps.drop("n"), "node"), "components")

@@ -60,7 +60,7 @@ def test_all_pairs(spark):
 
 
 def test_all_pairs_in_many_small_tiles(spark):
-    check(spark, M.NearSettings(words=3, percent=85, block=7))
+    check(spark, M.NearSettings(words=3, percent=85, block=7, sketches=9))
 
 
 def test_five_words(spark):
