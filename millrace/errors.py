@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 
+# The prefixes.
+
+
 class CompactionError(Exception):
     prefix = ""
 

@@ -6,9 +6,9 @@ columns, so planning is tested at the size of a large table's file list.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +19,15 @@ from millrace.model import FILE_TASK, PATH, POSITION, SEQUENCE, DataFile, Rewrit
 from millrace.operators.merge_on_read import EqualityDeletes, MergeOnRead
 from millrace.operators.rewrite import sort_columns
 from millrace.operators.validate import written_inputs
+from millrace.metrics import MemoryRegistry
 from millrace.orchestrate import AutoCompaction, Compaction, merge_stats, removed_files
-from millrace.plans.auto import plans_in_order, stats_frame
+from millrace.plans.auto import auto_plan, stats_frame
 from millrace.plans.config import AutoCompactionConfig, BinPackConfig, CompactionConfig, ExecutionConfig, FileGroupScope, FilesWithDeletesConfig, FullCompactionConfig, GroupFilters, Grouping, Single, SmallFilesConfig
 from millrace.plans.filters import DeleteFileCountFilter, SizeFilter
-from millrace.plans.strategy import PlanStrategy, group_totals, strategy_of
+from millrace.plans.strategy import PlanStrategy, delete_files, group_of, strategy_of
 from millrace.sources.files import balanced, by_content, with_positions
-from millrace.sources.table import KNOWN_SUMMARY_KEYS, Catalog, SortField
+from millrace.sources.shared import new_folder
+from millrace.sources.table import KNOWN_SUMMARY_KEYS, Catalog, MemoryCatalog, SortField, Table, custom_properties
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,9 +49,8 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new warehouse in the folder that executors share; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base}/millrace-warehouse-{uuid.uuid4().hex}"
+    """A new warehouse in the folder that executors share."""
+    return new_folder(spark, "warehouse")
 
 
 # merge-on-read
@@ -285,8 +286,7 @@ ORACLES["group_filter_min_count"] = _groups_sql(ALL_TOTALS, "length < 10000000",
 def group_delete_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Delete files of each group, every path once."""
     placed = strategy_of(_full()).assign(manifest(spark, sf))
-    d = placed.select("group_id", F.explode("deletes").alias("d"))
-    return d.groupBy("group_id", F.col("d.content").alias("content"), F.col("d.file_path").alias("file_path")).agg(F.min("d.file_size_in_bytes").alias("bytes"))
+    return delete_files(placed).withColumnRenamed("path", "file_path")
 
 
 PACK = 2_000_000_000
@@ -308,7 +308,18 @@ def binpack_groups(spark: SparkSession, sf: str) -> DataFrame:
     return placed.groupBy("group_id").agg(F.count(F.lit(1)).alias("files"), F.sum("file_size_in_bytes").alias("bytes"))
 
 
-@exhibit()
+@exhibit(
+    MANIFEST_SQL.replace("WITH vm", "WITH RECURSIVE vm")
+    + """, sorted AS (SELECT length, row_number() OVER (ORDER BY file_path) AS rn FROM vm),
+dealt AS (
+  SELECT 0::BIGINT AS rn, list_transform(range(16), lambda x: 0::BIGINT) AS bytes, list_transform(range(16), lambda x: 0::BIGINT) AS files
+  UNION ALL
+  SELECT s.rn, list_transform(d.bytes, lambda x, i: CASE WHEN i = list_position(d.bytes, list_min(d.bytes)) THEN x + s.length ELSE x END),
+         list_transform(d.files, lambda x, i: CASE WHEN i = list_position(d.bytes, list_min(d.bytes)) THEN x + 1 ELSE x END)
+  FROM dealt d JOIN sorted s ON s.rn = d.rn + 1),
+last AS (SELECT bytes, files FROM dealt ORDER BY rn DESC LIMIT 1)
+SELECT (generate_subscripts(bytes, 1) - 1)::INTEGER AS split, unnest(files)::BIGINT AS files, unnest(bytes)::BIGINT AS bytes FROM last"""
+)
 def split_balance(spark: SparkSession, sf: str) -> DataFrame:
     return balanced(manifest(spark, sf), 16).groupBy("split").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
@@ -375,13 +386,9 @@ _AUTO = AutoCompactionConfig(target_file_size_bytes=1_000_000_000, max_input_par
 
 
 def _report(spark: SparkSession, sf: str, budget: int | None) -> DataFrame:
-    """The report of the automatic planner's choice as one row: plans are the strategy's groups in order."""
-    files = manifest(spark, sf)
-    groups = strategy_of(_deletes_config).execute(files)[1]
-    kept = plans_in_order(groups, budget)
-    total = files.agg(F.sum("length").alias("all_bytes"))
-    sums = kept.agg(F.count(F.lit(1)).alias("plans"), F.sum("input_total_bytes").alias("planned_input_bytes"), F.sum("input_files_count").alias("planned_input_files"), F.sum("total_size").alias("data"))
-    return sums.join(F.broadcast(total)).select("plans", "planned_input_bytes", "planned_input_files", F.when(F.col("all_bytes") == 0, 0.0).otherwise(F.col("data") / F.col("all_bytes")).alias("rewrite_ratio"))
+    """The automatic planner's report as one row."""
+    r = auto_plan(manifest(spark, sf), replace(_AUTO, max_auto_plans_per_run=budget))
+    return spark.createDataFrame([(len(r.plans), r.planned_input_bytes, r.planned_input_files, r.rewrite_ratio)], "plans long, planned_input_bytes long, planned_input_files long, rewrite_ratio double")
 
 
 def _report_sql(budget: str) -> str:
@@ -407,8 +414,6 @@ def auto_report_capped(spark: SparkSession, sf: str) -> DataFrame:
     + "SELECT CASE WHEN count(*) FILTER (nd >= 3) >= 1 THEN 'FilesWithDeletes' WHEN count(*) FILTER (length < 10000000) >= 5 THEN 'SmallFiles' END AS strategy, 'Recommended' AS reason FROM vm"
 )
 def auto_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    from millrace.plans.auto import auto_plan
-
     report = auto_plan(manifest(spark, sf), _AUTO)
     return spark.createDataFrame([(report.selected_strategy.value, report.reason.value)], "strategy string, reason string")
 
@@ -419,8 +424,6 @@ def auto_candidates(spark: SparkSession, sf: str) -> DataFrame:
 @exhibit(_groups_sql("CAST(sum(input_files_count) AS BIGINT) AS input_files_count, CAST(sum(input_total_bytes) AS BIGINT) AS input_total_bytes, CAST(sum(data_file_count) AS BIGINT) AS input_data_file_count, CAST(2 * count(*) AS BIGINT) AS output_files_count, CAST(2000 * count(*) AS BIGINT) AS output_total_bytes"))
 def merge_stats_of_plans(spark: SparkSession, sf: str) -> DataFrame:
     """Each plan's stats, with two output files of 1000 bytes, merged."""
-    from millrace.plans.strategy import group_of
-
     groups = [group_of(r) for r in strategy_of(_full()).execute(manifest(spark, sf))[1].collect()]
     stats = merge_stats([RewriteStats.of(g, [DataFile("a", 1000, 1), DataFile("b", 1000, 1)]) for g in groups])
     return stats.as_row(spark).select("input_files_count", "input_total_bytes", "input_data_file_count", "output_files_count", "output_total_bytes")
@@ -428,8 +431,9 @@ def merge_stats_of_plans(spark: SparkSession, sf: str) -> DataFrame:
 
 @exhibit(_groups_sql("data_file_count AS input_data_file_count, position_delete_file_count AS input_position_delete_file_count, equality_delete_file_count AS input_equality_delete_file_count, input_total_bytes", scope="left(scope, 0)"))
 def rewrite_stats(spark: SparkSession, sf: str) -> DataFrame:
-    totals = group_totals(strategy_of(_full(scope=FileGroupScope.TABLE)).assign(manifest(spark, sf)))
-    return totals.select(F.col("data_file_count").alias("input_data_file_count"), F.col("position_delete_file_count").alias("input_position_delete_file_count"), F.col("equality_delete_file_count").alias("input_equality_delete_file_count"), "input_total_bytes")
+    groups = strategy_of(_full(scope=FileGroupScope.TABLE)).execute(manifest(spark, sf))[1]
+    stats = RewriteStats.of(group_of(groups.first()), [])
+    return stats.as_row(spark).select("input_data_file_count", "input_position_delete_file_count", "input_equality_delete_file_count", "input_total_bytes")
 
 
 @exhibit(MANIFEST_SQL + "SELECT file_path, length FROM vm WHERE k % 3 = 0")
@@ -447,9 +451,8 @@ def rewritten_file_lookup(spark: SparkSession, sf: str) -> DataFrame:
 @exhibit("SELECT o_orderkey, 'owner' AS name FROM orders")
 def summary_property_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Of a summary with a known key, a partition's and a user's, the user's stays."""
-    m = F.create_map(F.lit(KNOWN_SUMMARY_KEYS[0]), F.lit("1"), F.lit("partitions.a=1"), F.lit("x"), F.lit("owner"), F.lit("me"))
-    left = F.map_filter(m, lambda k, v: ~k.isin(*KNOWN_SUMMARY_KEYS) & ~k.startswith("partitions."))
-    return read(spark, sf, "orders").select("o_orderkey", F.explode(F.map_keys(left)).alias("name"))
+    left = custom_properties({KNOWN_SUMMARY_KEYS[0]: "1", "partitions.a=1": "x", "operation": "append", "owner": "me"})
+    return read(spark, sf, "orders").select("o_orderkey", F.explode(F.array(*map(F.lit, left))).alias("name"))
 
 
 @exhibit("SELECT (SELECT count(*) FROM events WHERE event_id % 7 <> 0) AS input_rows, (SELECT count(*) FROM events WHERE event_id % 7 <> 0) AS output_rows")
@@ -500,6 +503,88 @@ def e2e_partitioned_sorted(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.load_table("t").read()
 
 
+def _files(table: Table, branch: str = "main") -> int:
+    return by_content(table.entries(table.metadata.refs[branch]))[0].count()
+
+
+@exhibit(f"SELECT 3::BIGINT AS main_files, 1::BIGINT AS branch_files, count(*) AS branch_rows FROM customer WHERE {_LEFT}")
+def e2e_steps_on_branch(spark: SparkSession, sf: str) -> DataFrame:
+    """Plan, rewrite and commit one by one, on a branch; main keeps its files."""
+    catalog, _ = _customers(spark, sf)
+    catalog.load_table("t").create_branch("dev")
+    c = Compaction(catalog, "t", CompactionConfig(), to_branch="dev")
+    results = [c.rewrite_plan(p, ExecutionConfig(enable_validate_compaction=True), c.load_table()) for p in c.plan_compaction()]
+    table = c.commit_rewrite_results(results)
+    return spark.createDataFrame([(_files(table), _files(table, "dev"), table.read("dev").count())], "main_files long, branch_files long, branch_rows long")
+
+
+@exhibit(f"SELECT * FROM customer WHERE {_LEFT} AND c_custkey % 7 <> 3")
+def e2e_commit_after_deletes(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that are deleted between the rewrite and its commit stay deleted."""
+    catalog, df = _customers(spark, sf)
+    c = Compaction(catalog, "t", CompactionConfig())
+    results = [c.rewrite_plan(p, ExecutionConfig(), c.load_table()) for p in c.plan_compaction()]
+    catalog.load_table("t").delete_equal(df.where("c_custkey % 7 = 3").select("c_custkey"), ["c_custkey"])
+    return c.commit_rewrite_results(results).read()
+
+
+@exhibit("SELECT 8::BIGINT AS files, count(*) AS rows_, sum(c_acctbal::DECIMAL(20, 2))::DOUBLE AS balance FROM customer")
+def e2e_parallel_partition(spark: SparkSession, sf: str) -> DataFrame:
+    """One partition, rewritten by eight tasks into eight files."""
+    catalog, df = Catalog(spark, scratch(spark)), read(spark, sf, "customer").withColumn("part", F.lit("one"))
+    table = catalog.create_table("t", df.schema, partition_fields=[PartitionField("part")]).append(df)
+    most = sum(r[0] for r in table.entries(table.metadata.refs["main"]).select("file_size_in_bytes").collect()) // 10
+    plan = FullCompactionConfig(target_file_size_bytes=most, max_output_parallelism=8, enable_heuristic_output_parallelism=False)
+    out = Compaction(catalog, "t", CompactionConfig(plan, ExecutionConfig(enable_validate_compaction=True))).compact()
+    return out.table.read().agg(F.lit(len(out.output_files)).cast("long").alias("files"), F.count(F.lit(1)).alias("rows_"), F.sum(F.col("c_acctbal").cast("decimal(20,2)")).cast("double").alias("balance"))
+
+
+@exhibit("SELECT * FROM customer")
+def e2e_memory_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    catalog, df = MemoryCatalog(spark), read(spark, sf, "customer")
+    catalog.create_table("t", df.schema)
+    catalog.load_table("t").append(df)
+    return catalog.load_table("t").read()
+
+
+@exhibit(
+    "SELECT * FROM (VALUES ('compaction_commit_counter', 1.0::DOUBLE), ('compaction_input_files_count', 5.0), ('compaction_output_files_count', 1.0), ('compaction_engine_batch_row_count_dist', 1.0), ('compaction_engine_batch_bytes_dist', 1.0), "
+    "('compaction_engine_batch_write_duration', 1.0), ('compaction_plan_file_count', 1.0)) AS t(name, value) UNION ALL "
+    f"SELECT 'compaction_engine_records_processed_total', count(*)::DOUBLE FROM customer WHERE {_LEFT}"
+)
+def compaction_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Some counters, and how often some histograms were observed, of one compaction."""
+    registry, labels = MemoryRegistry(), ("default", "t")
+    Compaction(_customers(spark, sf)[0], "t", CompactionConfig(), registry=registry).compact()
+    counted = ["compaction_commit_counter", "compaction_input_files_count", "compaction_output_files_count", "compaction_engine_records_processed_total"]
+    observed = ["compaction_engine_batch_row_count_dist", "compaction_engine_batch_bytes_dist", "compaction_engine_batch_write_duration", "compaction_plan_file_count"]
+    rows = [(n, float(registry.counters[n, labels])) for n in counted] + [(n, float(sum(registry.histograms[n, labels]))) for n in observed]
+    return spark.createDataFrame(rows, "name string, value double")
+
+
+@exhibit("SELECT * FROM customer")
+def stream_batch_again(spark: SparkSession, sf: str) -> DataFrame:
+    """A micro-batch that comes again after another writer's commit is not appended twice."""
+    from millrace.streaming.trigger import CompactingSink
+
+    catalog, df = Catalog(spark, scratch(spark)), read(spark, sf, "customer")
+    catalog.create_table("t", df.schema)
+    sink = CompactingSink(catalog, "t", every=0)
+    sink(df.where("c_custkey % 2 = 0"), 0)
+    catalog.load_table("t").append(df.where("c_custkey % 2 = 1"))
+    sink(df.where("c_custkey % 2 = 0"), 0)
+    return catalog.load_table("t").read()
+
+
+@exhibit("SELECT c_name, c_custkey FROM customer WHERE c_custkey % 10 <> 0")
+def schema_change_keeps_deletes(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns move and go; deletes by key still hit the key."""
+    catalog, df = Catalog(spark, scratch(spark)), read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    table = catalog.create_table("t", df.schema).append(df)
+    table = table.delete_equal(df.where("c_custkey % 10 = 0").select("c_custkey"), ["c_custkey"])
+    return table.evolve(df.select("c_name", "c_custkey").schema).read()
+
+
 @exhibit("SELECT true AS first_ran, false AS second_ran, 1::BIGINT AS data_files, 0::BIGINT AS delete_files")
 def e2e_second_run_noop(spark: SparkSession, sf: str) -> DataFrame:
     """The automatic planner has nothing left after one run."""
@@ -521,10 +606,20 @@ def sorted_within_file(spark: SparkSession, sf: str) -> DataFrame:
     return with_positions(spark.read.schema(df.schema).parquet(where)).select("l_orderkey", "l_linenumber", "l_shipdate", F.col(POSITION).alias("pos"))
 
 
-@exhibit("SELECT o_orderkey, year(o_orderdate) - 1970 AS y, (year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS m, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS d, o_custkey - o_custkey % 10 AS t FROM orders")
+_M = 4294967295
+_turn = lambda x, by: f"((({x}) << {by}) | (({x}) >> {32 - by})) & {_M}"
+_word = lambda x: f"(({_turn(f'(({x}) * 3432918353) & {_M}', 15)}) * 461845907) & {_M}"
+_BUCKET_SQL = f"""
+WITH a AS (SELECT *, {_word("o_custkey::UBIGINT")} AS k FROM orders), b AS (SELECT *, (({_turn("k", 13)}) * 5 + 3864292196) & {_M} AS h1 FROM a),
+c AS (SELECT *, xor((({_turn("h1", 13)}) * 5 + 3864292196) & {_M}, 8::UBIGINT) AS h2 FROM b), d AS (SELECT *, (xor(h2, h2 >> 16) * 2246822507::UBIGINT) & {_M} AS h3 FROM c),
+e AS (SELECT *, (xor(h3, h3 >> 13) * 3266489909::UBIGINT) & {_M} AS h4 FROM d), f AS (SELECT *, xor(h4, h4 >> 16) AS h FROM e)
+"""
+
+
+@exhibit(_BUCKET_SQL + "SELECT o_orderkey, year(o_orderdate) - 1970 AS y, (year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS m, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS d, o_custkey - o_custkey % 10 AS t, ((h & 2147483647) % 5)::BIGINT AS b FROM f")
 def partition_transforms(spark: SparkSession, sf: str) -> DataFrame:
     df = read(spark, sf, "orders")
     kinds = {f.name: f.dataType for f in df.schema.fields}
     of = lambda source, t: PartitionField(source, t).column(F.col(source), kinds[source])
-    return df.select("o_orderkey", of("o_orderdate", "year").cast("long").alias("y"), of("o_orderdate", "month").cast("long").alias("m"), of("o_orderdate", "day").cast("long").alias("d"), of("o_custkey", "truncate[10]").alias("t"))
-
+    time = {n: of("o_orderdate", t).cast("long") for n, t in (("y", "year"), ("m", "month"), ("d", "day"))}
+    return df.select("o_orderkey", *[c.alias(n) for n, c in time.items()], of("o_custkey", "truncate[10]").alias("t"), of("o_custkey", "bucket[5]").cast("long").alias("b"))

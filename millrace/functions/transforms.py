@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,33 +36,20 @@ def murmur3_32(data: bytes, seed: int = 0) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
-def murmur3_longs(values: np.ndarray) -> np.ndarray:
-    """The same of 64-bit integers as 8 little-endian bytes, vectorised."""
-    v = values.astype(np.int64).view(np.uint64)
-    h = np.zeros(len(v), dtype=np.uint32)
-    for k in ((v & np.uint64(0xFFFFFFFF)).astype(np.uint32), (v >> np.uint64(32)).astype(np.uint32)):
-        k = k * np.uint32(0xCC9E2D51)
-        k = (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
-        h ^= k
-        h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
-    h ^= np.uint32(8)
-    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
-    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
-    return (h ^ h >> np.uint32(16)).view(np.int32)
+def zero_seed(seed: int = 42) -> int:
+    """The integer whose Murmur3 hash with this seed is 0. Spark's hash() starts with seed 42 and takes each value's hash as the
+    next one's seed, so hash(zero_seed(), x) is Murmur3 of x with seed 0."""
+    word, turned = 1 << 32, lambda x, by: x >> by | x << 32 - by & 0xFFFFFFFF
+    k = turned((4 - 0xE6546B64) * pow(5, -1, word) % word, 13) ^ seed  # 4, the length in bytes, undoes what the end adds
+    v = turned(k * pow(0x1B873593, -1, word) % word, 15) * pow(0xCC9E2D51, -1, word) % word
+    return v - word if v >> 31 else v
 
 
 def bucket(value: Column, kind: T.DataType, n: int) -> Column:
     """(hash & max int) mod n; null stays null. Integers and dates hash as longs, strings as UTF-8."""
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType)):
-
-        @F.pandas_udf("int")
-        def of_long(x: pd.Series) -> pd.Series:
-            known = x.notna()
-            out = pd.Series([None] * len(x), dtype="Int32")
-            out[known] = (murmur3_longs(x[known].to_numpy(dtype=np.int64)) & 0x7FFFFFFF) % n
-            return out
-
-        return of_long(F.unix_date(value).cast("long") if isinstance(kind, T.DateType) else value.cast("long"))
+        long = F.unix_date(value).cast("long") if isinstance(kind, T.DateType) else value.cast("long")
+        return F.when(value.isNotNull(), F.pmod(F.hash(F.lit(zero_seed()), long).bitwiseAND(0x7FFFFFFF), F.lit(n)))
     if isinstance(kind, (T.StringType, T.BinaryType)):
 
         @F.pandas_udf("int")

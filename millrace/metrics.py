@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 from bisect import bisect_left
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -18,6 +19,7 @@ def exponential(start: float, factor: float, count: int) -> list[float]:
     return [start * factor**i for i in range(count)]
 
 
+# Names and buckets that dashboards know.
 _MIB = 1 << 20
 COUNTERS = (
     "compaction_commit_counter",
@@ -96,6 +98,15 @@ class Metrics:
         self.add("compaction_input_bytes_total", stats.input_total_bytes)
         self.add("compaction_output_bytes_total", stats.output_total_bytes)
 
+    def files(self, sizes: Sequence[tuple[int, int]], fetch_ms: float, write_ms: float) -> None:
+        """Once for each plan: rows and bytes of each written file, which is what stands for a batch here; the time to get the
+        plan's descriptors, and the time to write, for a file."""
+        self.observe("compaction_engine_batch_fetch_duration", fetch_ms)
+        for rows, size in sizes:
+            self.observe("compaction_engine_batch_write_duration", write_ms / len(sizes))
+            self.observe("compaction_engine_batch_row_count_dist", rows)
+            self.observe("compaction_engine_batch_bytes_dist", size)
+
     def plan(self, stats: RewriteStats, milliseconds: float, rows: int = 0) -> None:
         """Once for each plan."""
         self.observe("compaction_plan_execution_duration", milliseconds)

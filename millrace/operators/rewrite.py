@@ -1,13 +1,14 @@
 """The rewrite of one plan: read with deletes applied, sort, write new files, report.
 
-Where output parallelism differs from what the scan gives, rows are dealt round-robin before the sort; each partition is
-sorted on its own, with no global order. Files are cut at the target size by rows: Spark's writers roll by row count, so
+Rows are dealt round-robin to the group's output parallelism before the sort, within their partition if there are several; each
+task's rows are sorted on their own, with no global order. Files are cut at the target size by rows: Spark's writers roll by row count, so
 the count comes from the input's bytes per row.
 """
 
 from __future__ import annotations
 
 import math
+import time
 import uuid
 from dataclasses import dataclass
 from typing import Protocol
@@ -20,7 +21,7 @@ from millrace.errors import ConfigError
 from millrace.model import EQUALITY_DELETES, POSITION_DELETES, SEQUENCE, CompactionPlan, DataFile, FileGroup, RewriteStats
 from millrace.operators.merge_on_read import EqualityDeletes, MergeOnRead, equality_columns
 from millrace.plans.config import ExecutionConfig
-from millrace.sources.files import data_scan, equality_deletes, position_deletes
+from millrace.sources.files import data_scan, equality_deletes, position_deletes, scoped_scan
 from millrace.sources.table import SortField, Table
 
 SCOPE = "sys_hidden_partition"
@@ -50,12 +51,9 @@ def merge_query(table: Table, files: DataFrame, config: ExecutionConfig = Execut
     for r in deletes:
         if r["d"]["content"] == EQUALITY_DELETES:
             by_ids.setdefault(tuple(sorted(r["d"]["equality_ids"] or ())), []).append(r)
-    several = partitioned and len({k for _, _, k in data}) > 1
+    several = partitioned and len({k for _, _, k in data}) > 1 and bool(by_ids)
     if several:  # a delete only hits the partitions whose files it was planned for
-        parts = [data_scan(spark, schema, [(p, s) for p, s, k in data if k == key], bool(pos), bool(by_ids)).withColumn(SCOPE, F.lit(key)) for key in sorted({k for _, _, k in data})]
-        scan = parts[0]
-        for p in parts[1:]:
-            scan = scan.unionByName(p)
+        scan = scoped_scan(spark, schema, [(p, s, [k]) for p, s, k in data], SCOPE)
     else:
         scan = data_scan(spark, schema, [(p, s) for p, s, _ in data], bool(pos), bool(by_ids))
     equality = []
@@ -63,10 +61,7 @@ def merge_query(table: Table, files: DataFrame, config: ExecutionConfig = Execut
         columns = equality_columns(ids, group)
         part = T.StructType([schema[c] for c in columns])
         if several:
-            frames = [equality_deletes(spark, part, [(r["path"], r["d"]["sequence_number"])]).withColumn(SCOPE, F.explode(F.array(*map(F.lit, sorted(r["keys"]))))) for r in rows]
-            frame = frames[0]
-            for f in frames[1:]:
-                frame = frame.unionByName(f)
+            frame = scoped_scan(spark, part, [(r["path"], r["d"]["sequence_number"], sorted(r["keys"])) for r in rows], SCOPE)
         else:
             frame = equality_deletes(spark, part, [(r["path"], r["d"]["sequence_number"]) for r in rows])
         # of equal delete rows the newest is enough
@@ -91,20 +86,20 @@ def rows_per_file(group: FileGroup, records: int, target: int) -> int:
     return max(1, math.ceil(target * records / group.data_bytes))
 
 
-def arranged(df: DataFrame, table: Table, group: FileGroup) -> tuple[DataFrame, list[str]]:
-    """Dealt to the group's output parallelism and sorted in each partition; with the names of its partition columns.
+def arranged(df: DataFrame, table: Table, group: FileGroup, partitions: int = 1) -> tuple[DataFrame, list[str]]:
+    """Dealt to the group's output parallelism and sorted in each task, for a group of so many table partitions; with the names of its partition columns.
 
     These stay in the frame: Spark's writer then sees that rows are in order of them, and does not sort again.
     """
-    fields = table.metadata.partition_fields
     wide, names = table.partitioned(df)
-    by = [F.col(n) for n in names]
-    if fields:  # rows of a partition meet in one task, so a partition gets few files; hot ones are cut by size
-        wide = wide.repartition(group.output_parallelism, *by) if group.output_parallelism > 1 else wide.coalesce(1)
-    elif group.output_parallelism == 1:
+    by, n = [F.col(x) for x in names], group.output_parallelism
+    if n == 1:
         wide = wide.coalesce(1)
-    else:
-        wide = wide.repartition(group.output_parallelism)
+    elif partitions == 1:  # one partition, or a table without: the group is one key, so rows are dealt round-robin
+        wide = wide.repartition(n)
+    else:  # each partition in as many tasks as there are for one, so that it gets few files and none is a single task's
+        ways = max(1, math.ceil(n / partitions))
+        wide = wide.repartition(n, *by, F.pmod(F.monotonically_increasing_id(), F.lit(ways)))
     order = sort_columns(table.metadata.schema(), table.metadata.sort_fields)
     if order:
         wide = wide.sortWithinPartitions(*by, *order)
@@ -123,6 +118,8 @@ class RewriteResponse:
     data_files: list[DataFile]
     stats: RewriteStats
     input_rows: int | None = None
+    fetch_ms: float = 0.0  # to get the plan's descriptors
+    write_ms: float = 0.0
 
 
 class Executor(Protocol):
@@ -136,13 +133,15 @@ class SparkExecutor:
 
     def rewrite_files(self, request: RewriteRequest) -> RewriteResponse:
         table, plan, config = request.table, request.plan, request.config
-        df, names = arranged(read_group(table, plan.files, config), table, plan.group)
-        records = plan.files.agg(F.coalesce(F.sum("record_count"), F.lit(0))).first()[0]
+        began = time.monotonic()
+        size = plan.files.agg(F.coalesce(F.sum("record_count"), F.lit(0)).alias("records"), F.count_distinct(F.coalesce("partition_key", F.lit(""))).alias("partitions")).first()
+        df, names = arranged(read_group(table, plan.files, config), table, plan.group, max(1, size["partitions"]))
         options = {"compression": config.compression, "parquet.block.size": str(config.row_group_bytes)}
-        if most := rows_per_file(plan.group, records, config.target_file_size_bytes):
+        if most := rows_per_file(plan.group, size["records"], config.target_file_size_bytes):
             options["maxRecordsPerFile"] = str(most)
+        read = time.monotonic()
         files = table.write_files(df, prefix=f"{config.data_file_prefix}-{uuid.uuid4().hex[:8]}", options=options, partition_columns=names)
-        return RewriteResponse(files, RewriteStats.of(plan.group, files))
+        return RewriteResponse(files, RewriteStats.of(plan.group, files), fetch_ms=(read - began) * 1000, write_ms=(time.monotonic() - read) * 1000)
 
 
 class MockExecutor:

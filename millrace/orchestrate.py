@@ -190,6 +190,7 @@ class _Runner:
             raise e if isinstance(e, CompactionError) else ExecutionError(e) from e
         result = RewriteResult(response.data_files, response.stats, plan)
         self.metrics.plan(result.stats, (time.monotonic() - began) * 1000, sum(f.record_count for f in response.data_files))
+        self.metrics.files([(f.record_count, f.file_size_in_bytes) for f in response.data_files], response.fetch_ms, response.write_ms)
         if config.enable_validate_compaction:
             rows = CompactionValidator(table, result, config, self.catalog_name).validate()
             result = replace(result, input_rows=rows[0], output_rows=rows[1])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.model import CompactionPlan
 from millrace.plans.config import AutoCompactionConfig, FilesWithDeletesConfig, SmallFilesConfig, SnapshotStats
 from millrace.plans.strategy import group_of, strategy_of
+from millrace.sources.shared import written
 
 
 class AutoSelectedStrategy(Enum):
@@ -53,14 +54,20 @@ def plans_in_order(groups: DataFrame, limit: int | None = None) -> DataFrame:
     return groups if limit is None else groups.limit(limit)
 
 
-def plans_of(assigned: DataFrame, groups: DataFrame, branch: str, snapshot_id: int) -> list[CompactionPlan]:
-    """A plan for each group; plans are what the driver schedules, one row each."""
+def plans_of(assigned: DataFrame, groups: DataFrame, branch: str, snapshot_id: int, limit: int | None = None) -> list[CompactionPlan]:
+    """A plan for each group, at most `limit`; plans are what the driver schedules, one row each.
+
+    Files with their groups are written once, parted by group, so that a plan reads its own rows and plans nothing again.
+    """
     file_columns = [c for c in assigned.columns if c not in ("scope", "bin", "group_id")]
-    out = []
-    for row in plans_in_order(groups).collect():
-        group = group_of(row)
-        out.append(CompactionPlan(group, branch, snapshot_id, assigned.where(F.col("group_id") == group.group_id).select(*file_columns)))
-    return out
+    found = [group_of(row) for row in plans_in_order(groups, limit).collect()]
+    if not found:
+        return []
+    if limit is not None:
+        assigned = assigned.where(F.col("group_id").isin([g.group_id for g in found]))
+    # a partition's name can't be empty, so it has a mark
+    planned = written(assigned.select(*file_columns, F.concat(F.lit("g"), "group_id").alias("group_id")), "plans", "group_id")
+    return [CompactionPlan(g, branch, snapshot_id, planned.where(F.col("group_id") == f"g{g.group_id}").select(*file_columns)) for g in found]
 
 
 def report_of(plans: list[CompactionPlan], total_data_bytes: int, reason: AutoPlanReason, selected: AutoSelectedStrategy | None) -> AutoPlanReport:
@@ -90,7 +97,8 @@ def auto_plan(files: DataFrame | None, config: AutoCompactionConfig, branch: str
     if not candidates:
         return AutoPlanReport(AutoPlanReason.NO_CANDIDATE)
     for selected, planning in candidates:
-        if plans := plans_of(*strategy_of(planning).execute(files), branch, snapshot_id):
+        budget = config.max_auto_plans_per_run
+        if plans := plans_of(*strategy_of(planning).execute(files), branch, snapshot_id, None if budget is None else budget + 1):
             report = report_of(plans, row["total_data_bytes"], AutoPlanReason.RECOMMENDED, selected)
-            return capped(report, config.max_auto_plans_per_run, row["total_data_bytes"])
+            return capped(report, budget, row["total_data_bytes"])
     return AutoPlanReport(AutoPlanReason.NO_PLANS_PRODUCED)

@@ -64,15 +64,20 @@ def grouping_of(config: Grouping) -> SingleGrouping | BinPackGrouping:
     return BinPackGrouping(config.target_group_size_bytes) if isinstance(config, BinPackConfig) else SingleGrouping()
 
 
+def delete_files(assigned: DataFrame) -> DataFrame:
+    """group_id, content, path, bytes: the delete files of each group, every path once (with its smallest size)."""
+    each = assigned.select("group_id", F.explode("deletes").alias("d")).groupBy("group_id", F.col("d.content").alias("content"), F.col("d.file_path").alias("path"))
+    return each.agg(F.min("d.file_size_in_bytes").alias("bytes"))
+
+
 def group_totals(assigned: DataFrame) -> DataFrame:
-    """One row a group: totals of its data files, and of its delete files, each path counted once (with its smallest size)."""
+    """One row a group: totals of its data files, and of its delete files."""
     data = assigned.groupBy("group_id", "scope").agg(
         F.sum("length").cast("long").alias("total_size"), F.count(F.lit(1)).alias("data_file_count"), F.sum("file_size_in_bytes").cast("long").alias("data_bytes")
     )
-    each = assigned.select("group_id", F.explode("deletes").alias("d")).groupBy("group_id", F.col("d.content").alias("content"), F.col("d.file_path").alias("path")).agg(F.min("d.file_size_in_bytes").alias("bytes"))
     kind = lambda c: F.col("content") == c
     total = lambda c: F.coalesce(F.sum(F.when(kind(c), F.col("bytes"))), F.lit(0)).cast("long")
-    deletes = each.groupBy("group_id").agg(
+    deletes = delete_files(assigned).groupBy("group_id").agg(
         F.count_if(kind(POSITION_DELETES)).alias("position_delete_file_count"),
         F.count_if(kind(EQUALITY_DELETES)).alias("equality_delete_file_count"),
         total(POSITION_DELETES).alias("position_delete_bytes"),

@@ -61,6 +61,14 @@ def data_scan(spark: SparkSession, schema: T.StructType, files: Sequence[tuple[s
     return df if positions else df.drop(PATH, POSITION)
 
 
+def scoped_scan(spark: SparkSession, schema: T.StructType, files: Sequence[tuple[str, int, Sequence[str]]], scope: str) -> DataFrame:
+    """Files (path, sequence number, scopes) with positions and sequence numbers, and a row for each scope of the file. One scan, whatever the number of files
+    and scopes: what belongs to a file is joined on its path."""
+    known = spark.createDataFrame([(p, n, list(k)) for p, n, k in files], f"`{PATH}` string, `{SEQUENCE}` long, `{scope}` array<string>")
+    known = known.select(canonical(PATH).alias(PATH), SEQUENCE, F.explode(scope).alias(scope))
+    return with_positions(read_files(spark, schema, [p for p, _, _ in files])).join(known, PATH)
+
+
 def _empty(spark: SparkSession, schema: T.StructType, positions: bool) -> DataFrame:
     df = spark.createDataFrame([], schema)
     return df.select("*", F.lit(None).cast("string").alias(PATH), F.lit(None).cast("long").alias(POSITION)) if positions else df
