@@ -1,10 +1,14 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first traversal.
 
 The tree is fitted on a bounded sample (`sample_rows`, those with the smallest hashes) and every row is put into
-one of its leaves. A query visits leaves through a priority queue of branches, nearest centre first. How many it
-visits is calibrated: on queries from the sample the number is widened until recall against brute force over the
-sample reaches `recall`. Queries meet the rows of a leaf in blocks: leaves are dealt to parts of bounded size by a
-hash, queries too, so no task holds an unbounded leaf.
+one of its leaves. Leaves that hold more than `leaf_most` rows of the table grow another level, and so on: each is split by
+k-means on a bounded sample of its own rows, in the executors. So leaves stay as small in a table of any size, and a
+query's work does not grow with the table.
+
+A query visits leaves through a priority queue of branches, nearest centre first. How many it visits is
+calibrated: on queries from the sample the number is widened until recall against brute force over the sample reaches
+`recall`. In a leaf that was split it goes on to the nearest of its children, to so many as were found in the same way, with
+`split_recall`, on the leaf's sample (and so many that they hold k + 1 rows). Queries of a leaf that many visit are dealt to parts.
 
 Equal vectors are one row of the index with its smallest ids: as equal distances are ordered by id, only the first
 k + 1 ids of a vector can be among a query's k nearest, so results are the same, and a vector that a third
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, cut, table
+from millrace.llm.common import bounded_batches, cut, release, spread_join, table
 
 
 @dataclass(frozen=True)
@@ -38,10 +42,25 @@ class TreeSettings:
     leaf_rows: int = 64  # of the sample
     recall: float = 0.96
     queries: int = 200  # of the calibration
-    part_rows: int = 4096  # of a leaf in one task
+    leaf_most: int = 4096  # rows of the table; a leaf with more is split
+    split_sample: int = 2048  # of a leaf's rows, about
+    split_branches: int = 32
+    split_recall: float = 0.99
     part_queries: int = 1024
 
 
+def k_means(rows: np.ndarray, k: int, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, the number of each row's), without empty ones."""
+    centres = rows[draw.choice(len(rows), min(k, len(rows)), replace=False)]
+    for _ in range(8):
+        which = squares(rows, centres).argmin(axis=1)
+        used = np.unique(which)
+        centres = np.stack([rows[which == c].mean(axis=0) for c in used])
+    which = squares(rows, centres).argmin(axis=1)
+    used, which = np.unique(which, return_inverse=True)
+    return centres[used], which
+
+
 class KMeansTree:
     """Centres by node; a node's children are given by number, leaves by -1 - leaf."""
 
@@ -55,7 +74,7 @@ class KMeansTree:
 
     def _grow(self, rows: np.ndarray, s: TreeSettings) -> int:
         if len(rows) > s.leaf_rows:
-            centres, which = self._k_means(rows, s.branches)
+            centres, which = k_means(rows, s.branches, self.draw)
             if len(centres) > 1:
                 node = len(self.centres)
                 self.centres.append(centres)
@@ -67,16 +86,6 @@ class KMeansTree:
         self.leaves += 1
         return -self.leaves
 
-    def _k_means(self, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        centres = rows[self.draw.choice(len(rows), min(k, len(rows)), replace=False)]
-        for _ in range(8):
-            which = squares(rows, centres).argmin(axis=1)
-            used = np.unique(which)
-            centres = np.stack([rows[which == c].mean(axis=0) for c in used])
-        which = squares(rows, centres).argmin(axis=1)
-        used, which = np.unique(which, return_inverse=True)
-        return centres[used], which
-
     def leaf_of(self, rows: np.ndarray) -> np.ndarray:
         """The leaf of each row, by the nearest centre at every node."""
         out = np.zeros(len(rows), dtype=np.int64)
@@ -128,6 +137,51 @@ def calibrated_visits(tree: KMeansTree, sample: np.ndarray, k: int, s: TreeSetti
     return tree.leaves
 
 
+def split_of(rows: np.ndarray, k: int, s: TreeSettings) -> tuple[np.ndarray, int]:
+    """Centres of a leaf's children, and how many of them a query visits."""
+    centres, which = k_means(rows, s.split_branches, np.random.Generator(np.random.PCG64(6)))
+    at = np.arange(0, len(rows), max(1, len(rows) // s.queries))
+    d = squares(rows[at], rows)
+    d[np.arange(len(at)), at] = np.inf  # not the query itself
+    truth = np.argpartition(d, min(k, len(rows) - 1) - 1, axis=1)[:, :k]
+    rank = squares(rows[at], centres).argsort(axis=1).argsort(axis=1)
+    needed = np.take_along_axis(rank, which[truth], axis=1)
+    widen = next(w for w in range(1, len(centres) + 1) if w == len(centres) or (needed < w).mean() >= s.split_recall)
+    fewest = np.sort(np.bincount(which)).cumsum()  # rows of the sample in the smallest children
+    return centres, max(widen, min(len(centres), int(np.searchsorted(fewest, k + 1)) + 1))
+
+
+def distances(v: F.Column, centres: F.Column) -> F.Column:
+    """Squared distance to each centre."""
+    return F.transform(centres, lambda c: F.aggregate(F.zip_with(v, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x))
+
+
+def grown(index: DataFrame, k: int, rows: int, s: TreeSettings) -> tuple[DataFrame, list[DataFrame]]:
+    """(index with leaves of bounded size, the splits that led there: leaf, centres, widen of each level)."""
+    splits: list[DataFrame] = []
+
+    def fit(leaf: tuple, some: pd.DataFrame) -> pd.DataFrame:
+        centres, widen = split_of(np.stack(some["v"].to_list()).astype(np.float64), k, s)
+        found = [(leaf[0], centres.tolist(), widen)] if len(centres) > 1 else []
+        return pd.DataFrame(found, columns=["leaf", "centres", "widen"])
+
+    while True:
+        big = cut(index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > s.leaf_most), "big")
+        if big.isEmpty():
+            return index, splits
+        first = F.col("ids")[0]
+        known = spread_join(index.withColumn("id", first), big, "leaf", "id", big, rows)
+        some = known.where(F.pmod(F.xxhash64("id", F.lit(9)), F.ceil(F.col("n") / s.split_sample)) == 0)
+        split = cut(some.select("leaf", "v").groupBy("leaf").applyInPandas(fit, "leaf string, centres array<array<double>>, widen int"), "split")
+        if split.isEmpty():
+            return index, splits
+        splits.append(split)
+        placed = spread_join(index.withColumn("id", first), split.select("leaf", "centres"), "leaf", "id", big, rows, "left").withColumn("d", distances(F.col("v"), F.col("centres")))
+        child = F.concat_ws(".", "leaf", F.array_position("d", F.array_min("d")).cast("string"))
+        before, index = index, cut(placed.select("v", "ids", "q", F.when(F.col("centres").isNull(), F.col("leaf")).otherwise(child).alias("leaf")), "index")
+        release(before)
+
+
 def usable(vector: str) -> F.Column:
     """Not null, not zero, all components present and finite."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -156,7 +210,8 @@ def search(rows: DataFrame, k: int, is_query: F.Column, key: str = "vec_id", vec
 
     # one row for each vector: its k + 1 smallest ids, gathered in two steps so that no group is large
     given = given.where(F.size("v") == dim)
-    salts = max(1, math.ceil(rows.count() / 20_000))
+    size = rows.count()
+    salts = max(1, math.ceil(size / 20_000))
     smallest = lambda ids: F.slice(F.array_sort(F.array_distinct(ids)), 1, k + 1)
     first = given.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(smallest(F.collect_list("id")).alias("ids"), F.max("q").alias("q"))
     vectors = first.groupBy("v").agg(smallest(F.flatten(F.collect_list("ids"))).alias("ids"), F.max("q").alias("q"))
@@ -165,40 +220,46 @@ def search(rows: DataFrame, k: int, is_query: F.Column, key: str = "vec_id", vec
         for b in batches:
             if b.num_rows:
                 leaf = shipped.value.leaf_of(as_matrix(b.column(0), dim))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, type=pa.int64())], names=["v", "ids", "q", "leaf"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(str, leaf.tolist()), type=pa.string())], names=["v", "ids", "q", "leaf"])
 
     kind = dict(given.dtypes)["v"]
-    index = cut(vectors.select("v", "ids", "q").mapInArrow(put, f"v {kind}, ids array<bigint>, q boolean, leaf long"), "index")
-    counts = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a leaf
+    index = cut(vectors.select("v", "ids", "q").mapInArrow(put, f"v {kind}, ids array<bigint>, q boolean, leaf string"), "index")
+    counts = {int(r["leaf"]): r["n"] for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a leaf of the sample's tree
+    index, splits = grown(index, k, size, s)
     asked = index.where("q")
-    parts = {leaf: math.ceil(n / s.part_rows) for leaf, n in counts.items()}
-    query_parts = max(1, math.ceil(asked.count() / s.part_queries))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["query", "v", "leaf", "part"]
+        out: list[tuple] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["query", "v", "leaf"])
         for b in batches:
-            out: list[tuple] = []
             for vid, v in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
                 seen = met = 0
                 for leaf in shipped.value.best_bins(np.array(v, dtype=np.float64)):
                     seen, met = seen + 1, met + counts.get(leaf, 0)
-                    out += [(vid[0], v, leaf, p) for p in range(parts.get(leaf, 0))]
+                    if leaf in counts:
+                        out.append((vid[0], v, str(leaf)))
                     if seen >= visits and met > k:
                         break
                 if len(out) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    kinds = [pa.int64(), pa.list_(pa.float64() if kind == "array<double>" else pa.float32()), pa.int64(), pa.int64()]
-    visited = asked.select("v", "ids").mapInArrow(visit, f"query long, v {kind}, leaf long, part long")
-    visited = visited.withColumn("query_part", F.pmod(F.xxhash64("query"), F.lit(query_parts)))
-    salted = F.create_map(*[F.lit(x) for leaf, n in parts.items() if n > 1 for x in (leaf, n)]) if any(n > 1 for n in parts.values()) else None
-    of_leaf = F.coalesce(salted[F.col("leaf")], F.lit(1)) if salted is not None else F.lit(1)
-    candidates = index.select("v", "ids", "leaf", F.pmod(F.xxhash64(F.col("ids")[0]), of_leaf).cast("long").alias("part"))
-    candidates = candidates.withColumn("query_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_parts - 1).cast("long"))))
-    on = ["leaf", "part", "query_part"]
+                    yield made()
+                    out.clear()
+        if out:
+            yield made()
+
+    kinds = [pa.int64(), pa.list_(pa.float64() if kind == "array<double>" else pa.float32()), pa.string()]
+    visited = asked.select("v", "ids").mapInArrow(visit, f"query long, v {kind}, leaf string")
+    for split in splits:  # on to the nearest children
+        visited = cut(visited, "visited")
+        load = visited.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+        met = spread_join(visited, split, "leaf", "query", load, visited.count(), "left")
+        near = F.transform(F.slice(F.array_sort(F.transform(distances(F.col("v"), F.col("centres")), lambda d, i: F.struct(d.alias("d"), (i + 1).alias("i")))), 1, F.col("widen")), lambda x: F.concat_ws(".", "leaf", x["i"].cast("string")))
+        visited = met.select("query", "v", F.explode(F.when(F.col("centres").isNull(), F.array("leaf")).otherwise(near)).alias("leaf"))
+    visited = cut(visited, "visited")
+    load = cut(visited.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "load")
+    ways = load.select("leaf", F.ceil(F.col("n") / s.part_queries).cast("int").alias("ways"))
+    visited = spread_join(visited, ways, "leaf", "query", load, visited.count()).withColumn("part", F.pmod(F.xxhash64("query"), F.col("ways")).cast("int"))
+    candidates = index.select("v", "ids", "leaf").join(ways, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    on = ["leaf", "part"]
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, float, int]] = []
@@ -217,8 +278,8 @@ def search(rows: DataFrame, k: int, is_query: F.Column, key: str = "vec_id", vec
                     found += [(int(query), d, x) for d, x in all_]
         return pd.DataFrame(found, columns=["query", "d", "id"])
 
-    tiles = visited.groupBy(*on).cogroup(candidates.groupBy(*on)).applyInPandas(nearest, "query long, d double, id long")
-    # a query has k + 1 for each part of a leaf that it visits
+    tiles = visited.select("query", "v", *on).groupBy(*on).cogroup(candidates.select("v", "ids", *on).groupBy(*on)).applyInPandas(nearest, "query long, d double, id long")
+    # a query has k + 1 for each leaf that it visits
     best = tiles.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, k + 1).alias("best"))
     # every id of a query's vector gets its own list, without itself
     asking = given.where("q").select(F.col("id").alias("query_id"), "v").distinct()

@@ -42,7 +42,22 @@ def test_many_leaves_and_parts(spark):
     draw = np.random.default_rng(2)
     centres = draw.normal(size=(12, 16)) * 4
     rows = [(i, (centres[i % 12] + draw.normal(size=16)).tolist()) for i in range(3000)]
-    compare(spark, rows, 0.9, "double", A.TreeSettings(leaf_rows=32, part_rows=20, part_queries=10))
+    compare(spark, rows, 0.9, "double", A.TreeSettings(leaf_rows=32, part_queries=3))
+
+
+def test_leaves_grow_with_the_table(spark):
+    """Ten times the sample, in one cloud and in clumps: leaves are split, some twice."""
+    draw = np.random.default_rng(4)
+    clump = lambda i: np.zeros(8) if i % 2 else np.full(8, 6.0 + i % 3)
+    rows = [(i, (clump(i) + draw.normal(size=8)).tolist()) for i in range(5000)]
+    settings = A.TreeSettings(sample_rows=500, leaf_rows=100, leaf_most=60, split_sample=300, split_branches=6, part_queries=4)
+    compare(spark, rows, 0.9, "float", settings)
+    index = spark.createDataFrame([(v, [i], False, "0") for i, v in rows], "v array<double>, ids array<long>, q boolean, leaf string")
+    from millrace.llm.common import cut
+
+    index, splits = A.grown(cut(index), 10, 5000, settings)
+    sizes = [r["count"] for r in index.groupBy("leaf").count().collect()]
+    assert len(splits) >= 3 and max(sizes) <= 60 and sum(sizes) == 5000
 
 
 def test_equal_vectors_and_ties(spark):
