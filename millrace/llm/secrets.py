@@ -1,7 +1,7 @@
 """Secret scans: patterns, and character Markov models of random strings and ordinary identifiers.
 
-`base_spans` finds what fixed patterns find. `MarkovScorer` scores every other long run of key
-characters by the log-likelihood ratio of two order-2 character models: one of random strings, one
+`base_spans` finds what fixed patterns find. `MarkovScorer` scores what these leave of every long run of key
+characters, and its pieces, by the log-likelihood ratio of two order-2 character models: one of random strings, one
 of ordinary identifiers. Both are trained here from labelled samples: random strings drawn with a
 fixed seed from the alphabets of keys (base64, base62, hex), identifiers from the names in Python's
 own standard library, alone and joined, and - in `train` - a bounded sample of the corpus, where
@@ -21,6 +21,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterable
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-LONG = re.compile(r"[A-Za-z0-9+/_=-]+")
+PIECE = re.compile(r"[A-Za-z0-9]+")
 WORD = re.compile(r"[A-Za-z][A-Za-z_-]{3,}")
 MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_RUN = 6, 20, 24, 20
 
@@ -86,7 +87,8 @@ def ordinary_samples(n: int = 8000, seed: int = 8) -> list[str]:
     """Labelled sample: identifiers of the standard library, alone and joined as paths, slugs and dates are."""
     names: list[str] = []
     for module in ("builtins", "os", "socket", "string", "ssl", "datetime", "logging", "email", "http.client", "unittest", "ast", "subprocess", "argparse", "inspect", "tarfile", "zipfile", "threading", "typing", "collections", "urllib.parse"):
-        names += [x for x in dir(importlib.import_module(module)) if not x.startswith("__")]
+        held = importlib.import_module(module)  # without its submodules, of which it shows those that were imported
+        names += [x for x in dir(held) if not x.startswith("__") and not isinstance(getattr(held, x), ModuleType)]
     names, draw = sorted(set(names)), random.Random(seed)
     numbers = lambda: draw.choice(["", "1", "2", "10", "2019", "2024", "01"])
     return [draw.choice("_-/=+").join(draw.choice(names) + numbers() for _ in range(draw.randint(1, 4))) for _ in range(n)] + names
@@ -146,14 +148,38 @@ class MarkovScorer:
         return score >= self.total and score >= self.per_char * len(text)
 
     def spans(self, text: str, points: bytes, taken: list[Span]) -> list[Span]:
-        """Runs of key characters that look random and lie outside the spans found before."""
+        """What looks random of the runs of key characters, without what the spans found before take of them: each part that is
+        left as a whole, or else the pieces between its `+/_=-`, so that a key is found that a long path is joined to."""
         found = []
-        for a, b in _runs(points.translate(_RUN_BYTES), MIN_RUN):
-            if not any(s < b and a < e for s, e, _ in taken) and self.is_secret(text[a:b].strip("=-_/+")):
+        for a, b in outside(_runs(points.translate(_RUN_BYTES), MIN_RUN), taken):
+            if b - a < MIN_RUN:
+                continue
+            if self.is_secret(text[a:b].strip("=-_/+")):
                 found.append((a, b, "markov"))
+            else:
+                found += [(a + m.start(), a + m.end(), "markov") for m in PIECE.finditer(text[a:b]) if m.end() - m.start() >= MIN_RUN and self.is_secret(m[0])]
         return found
 
 
+def outside(runs: Iterable[tuple[int, int]], taken: list[Span]) -> Iterable[tuple[int, int]]:
+    """The parts of the runs (in order) that no span takes; one pass over both."""
+    spans, at = sorted((a, b) for a, b, _ in taken), 0
+    for a, b in runs:
+        while at < len(spans) and spans[at][0] < b:
+            low, high = spans[at]
+            if high <= a:
+                at += 1
+                continue
+            if low > a:
+                yield a, low
+            a = max(a, high)
+            if high > b:
+                break  # it may take of the next run, too
+            at += 1
+        if a < b:
+            yield a, b
+
+
 def calibrated(random_counts: Counter, ordinary_counts: Counter) -> MarkovScorer:
     """A scorer whose threshold a fresh labelled sample sets: no ordinary string of it passes."""
     scorer = MarkovScorer(random_counts, ordinary_counts, 0.0, 0.0)

@@ -78,3 +78,31 @@ def test_frames(spark, scorer):
     got = S.scan(docs, scorer).collect()
     assert sorted(str(r["clean"]) for r in got) == ["", "None", "[secret]", "[secret]"]
     assert S.scan(docs.where("false"), S.train(docs.where("false"))).count() == 0
+
+
+def test_keys_beside_base_spans_and_in_paths(scorer):
+    key = "q7Zk2LmX9vBt4RwYc8NpJd3HsGf6Ta5Ue1Vo0Kx"
+    hexa = "0123456789abcdef0123456789abcdef"
+    for text in (f"https://h/x/{hexa}/{key}", f"see usr/share/common/documents/{key}/view for it", f"{key}_the_name_of_a_long_ordinary_identifier_in_some_module", f"{hexa}-{key}"):
+        base, spans = S.find_secrets(text, scorer)
+        assert any(a <= text.index(key) and text.index(key) + len(key) <= b for a, b, k in spans if k == "markov"), text
+        assert [s for s in spans if s[2] != "markov"] == base
+    assert S.find_secrets("usr/share/common/documents/of_all_people/with_long_names", scorer)[1] == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 12)), max_size=6), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 20)), max_size=6))
+def test_outside(gaps, spans):
+    runs, at = [], 0
+    for gap, size in gaps:
+        runs.append((at + gap + 1, at + gap + 1 + size))
+        at = runs[-1][1]
+    taken = [(a, a + n, "hex") for a, n in spans]
+    free = [i for a, b in runs for i in range(a, b) if not any(x <= i < y for x, y, _ in taken)]
+    assert [i for a, b in S.outside(runs, taken) for i in range(a, b)] == free
+
+
+def test_many_keys_in_one_text(scorer):
+    text = "".join(f"token={i:08d}abcdefgh " + "x" * 20 + f" {i:040x} " for i in range(20_000))
+    base, spans = S.find_secrets(text, scorer)
+    assert len(base) == 40_000 and len(spans) >= len(base)
