@@ -7,12 +7,16 @@ has two levels, as many as the given tables' paths have):
 1. segments are generalised: digits become a wildcard at once, and of the other
    segments under one node only those with enough rows stay constants, whatever their
    share of the node's rows; the rest becomes the wildcard `*`;
-2. a branch whose labelled share of bad pages does not differ significantly from that of
-   its siblings together (two-proportion z test) is merged with them: it takes their pooled labels;
+2. branches of one node are merged with each other where they are similar: in the order of their labelled
+   share of bad pages, in steps of 5 %, neighbours that don't differ significantly (two-proportion z test) are one
+   cluster, and a branch takes its cluster's pooled labels. If there is one cluster only, or a branch
+   has no labels, it takes what its node has;
 3. a template is rejected if its labelled purity, smoothed towards its host's (which is
    smoothed towards the corpus'), reaches `reject_at`.
 
-Labels are rows with bad = 1 or 0. The query uses the rows that the rules decide.
+Labels are rows with bad = 1 or 0. The query uses the rows that the rules decide, as no table labels URLs. So its
+labels reach the hosts that a rule covers in part; templates of a host without a rule have only the corpus' share of
+blocked rows, which is below the bound, and are allowed.
 Everything is grouped with partial sums, so a host with a third of all rows sends
 one row per task and template; the join back is a plain left join on the template key,
 which Spark splits where one key is hot.
@@ -25,11 +29,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, table
 
+SHARES = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -102,18 +107,28 @@ def _similar(n1: Column, b1: Column, n2: Column, b2: Column, z2: float) -> Colum
     return F.coalesce(gap * gap < z2 * spread, F.lit(True)) | (p * (1 - p) == 0)
 
 
+def _clusters(branch: DataFrame, s: TreeSettings) -> DataFrame:
+    """host, node, share -> labels of the share's cluster (cl, cb), for nodes with several clusters. A node has SHARES + 1 shares at most, so no window is large."""
+    shares = branch.where("share IS NOT NULL").groupBy("host", "node", "share").agg(F.sum("nl").alias("sl"), F.sum("nb").alias("sb"))
+    node = Window.partitionBy("host", "node")
+    along = node.orderBy("share")
+    similar = _similar(F.col("sl"), F.col("sb"), F.lag("sl").over(along), F.lag("sb").over(along), s.z2)
+    shares = shares.withColumn("apart", F.when(F.lag("sl").over(along).isNull() | similar, 0).otherwise(1)).withColumn("cluster", F.sum("apart").over(along))
+    cluster = Window.partitionBy("host", "node", "cluster")
+    out = shares.select("host", "node", "share", F.sum("sl").over(cluster).alias("cl"), F.sum("sb").over(cluster).alias("cb"), F.max("cluster").over(node).alias("last"))
+    return out.where("last > 0").drop("last")
+
+
 def _grown(live: DataFrame, nodes: DataFrame, level: int, s: TreeSettings) -> tuple[DataFrame, DataFrame]:
     """One more level: live with the nodes of that level, and those nodes with the labels that they are judged by."""
     raw = live.withColumn("raw", F.coalesce(F.get(F.split("key", "/"), level - 1), F.lit("")))
     child = raw.groupBy("host", "node", "raw").agg(F.sum("n").alias("child_n"), F.sum("labelled").alias("nl"), F.sum("bad").alias("nb"))
     child = child.withColumn("step", F.when((F.col("raw") != "*") & (F.col("child_n") >= s.min_rows), F.col("raw")).otherwise(F.lit("*")))
     below = F.concat_ws("/", "node", "step")
-    differs = ~_similar(F.col("nl"), F.col("nb"), F.col("l") - F.col("nl"), F.col("b") - F.col("nb"), s.z2)
-    grown = child.groupBy("host", "node", "step").agg(F.sum("nl").alias("nl"), F.sum("nb").alias("nb")).join(nodes, ["host", "node"])
-    grown = grown.select(
-        "host", below.alias("node"), F.col("nl").alias("l"), F.col("nb").alias("b"), "l0", "b0",
-        F.when(differs, F.col("nl")).otherwise(F.col("ml")).alias("ml"), F.when(differs, F.col("nb")).otherwise(F.col("mb")).alias("mb"),
-    )
+    branch = child.groupBy("host", "node", "step").agg(F.sum("nl").alias("nl"), F.sum("nb").alias("nb")).withColumn("share", F.expr(f"CASE WHEN nl > 0 THEN {SHARES} * nb div nl END"))
+    grown = branch.join(nodes, ["host", "node"]).join(_clusters(branch, s), ["host", "node", "share"], "left").select(
+        "host", below.alias("node"), F.col("nl").alias("l"), F.col("nb").alias("b"), "l0", "b0", F.coalesce("cl", "ml").alias("ml"), F.coalesce("cb", "mb").alias("mb")
+    )
     steps = child.select("host", "node", "raw", "step")
     return raw.join(steps, ["host", "node", "raw"]).select("host", "key", "n", "labelled", "bad", below.alias("node")), grown
 
@@ -219,6 +234,16 @@ def _similar_sql(n1: str, b1: str, n2: str, b2: str) -> str:
     return f"(coalesce({gap} * {gap} < {z2}::double * ({spread}), true) OR coalesce(({p}) * (1 - ({p})) = 0, false))"
 
 
+def _clusters_sql(nodes: str, by: str, n: str, b: str) -> str:
+    return f"""
+    SELECT {by}, share, sum(sl) OVER (PARTITION BY {by}, cluster) AS cl, sum(sb) OVER (PARTITION BY {by}, cluster) AS cb FROM (
+      SELECT *, sum(apart) OVER (PARTITION BY {by} ORDER BY share) AS cluster FROM (
+        SELECT *, CASE WHEN pl IS NULL OR {_similar_sql("sl", "sb", "pl", "pb")} THEN 0 ELSE 1 END AS apart FROM (
+          SELECT *, lag(sl) OVER (PARTITION BY {by} ORDER BY share) AS pl, lag(sb) OVER (PARTITION BY {by} ORDER BY share) AS pb FROM (
+            SELECT {by}, {SHARES} * {b} // {n} AS share, sum({n}) AS sl, sum({b}) AS sb FROM {nodes} WHERE {n} > 0 GROUP BY ALL))))
+    QUALIFY max(cluster) OVER (PARTITION BY {by}) > 0"""
+
+
 OP4_SQL = f"""
 WITH raw AS (
   SELECT page_id, coalesce(url, '') AS u FROM pages),
@@ -243,16 +268,16 @@ c2 AS (
   SELECT host, t1, s2 FROM (SELECT host, t1, s2, sum(n) AS child_n FROM l1 GROUP BY ALL) JOIN (SELECT host, t1, sum(n) AS node_n FROM l1 GROUP BY ALL) USING (host, t1)
   WHERE s2 <> '*' AND child_n >= {TreeSettings.min_rows} AND child_n >= {TreeSettings.min_share}::double * node_n),
 tree AS (SELECT l1.*, CASE WHEN c2.s2 IS NULL THEN '*' ELSE l1.s2 END AS t2 FROM l1 LEFT JOIN c2 ON l1.host = c2.host AND l1.t1 = c2.t1 AND l1.s2 = c2.s2),
-leaves AS (
-  SELECT * FROM (SELECT host, t1, t2, sum(labelled) AS n2, sum(bad) AS b2 FROM tree GROUP BY ALL)
-  JOIN (SELECT host, t1, sum(labelled) AS n1, sum(bad) AS b1 FROM tree GROUP BY ALL) USING (host, t1)
-  JOIN (SELECT host, sum(labelled) AS n0, sum(bad) AS b0 FROM tree GROUP BY ALL) USING (host)),
+nodes1 AS (SELECT host, t1, sum(labelled) AS n1, sum(bad) AS b1 FROM tree GROUP BY ALL),
+nodes2 AS (SELECT host, t1, t2, sum(labelled) AS n2, sum(bad) AS b2 FROM tree GROUP BY ALL),
+nodes0 AS (SELECT host, sum(labelled) AS n0, sum(bad) AS b0 FROM tree GROUP BY ALL),
 merged AS (
-  SELECT *, CASE WHEN {_similar_sql("n1", "b1", "n0 - n1", "b0 - b1")} THEN n0 ELSE n1 END AS m1n,
-         CASE WHEN {_similar_sql("n1", "b1", "n0 - n1", "b0 - b1")} THEN b0 ELSE b1 END AS m1b FROM leaves),
+  SELECT nodes1.*, n0, b0, CASE WHEN n1 > 0 THEN {SHARES} * b1 // n1 END AS share, coalesce(cl, n0) AS m1n, coalesce(cb, b0) AS m1b
+  FROM nodes1 JOIN nodes0 USING (host) LEFT JOIN ({_clusters_sql("nodes1", "host", "n1", "b1")}) c ON c.host = nodes1.host AND c.share = CASE WHEN n1 > 0 THEN {SHARES} * b1 // n1 END),
 pooled AS (
-  SELECT *, CASE WHEN {_similar_sql("n2", "b2", "n1 - n2", "b1 - b2")} THEN m1n ELSE n2 END AS mn,
-         CASE WHEN {_similar_sql("n2", "b2", "n1 - n2", "b1 - b2")} THEN m1b ELSE b2 END AS mb FROM merged),
+  SELECT nodes2.host, nodes2.t1, t2, n0, b0, coalesce(cl, m1n) AS mn, coalesce(cb, m1b) AS mb
+  FROM nodes2 JOIN merged ON merged.host = nodes2.host AND merged.t1 = nodes2.t1
+  LEFT JOIN ({_clusters_sql("nodes2", "host, t1", "n2", "b2")}) c ON c.host = nodes2.host AND c.t1 = nodes2.t1 AND c.share = CASE WHEN n2 > 0 THEN {SHARES} * b2 // n2 END),
 judged AS (
   SELECT host, t1, t2, (mb + {TreeSettings.smoothing}::double * ((b0 + {TreeSettings.smoothing}::double * prior) / (n0 + {TreeSettings.smoothing}::double))) / (mn + {TreeSettings.smoothing}::double) AS purity
   FROM pooled, total)

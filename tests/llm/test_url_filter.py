@@ -67,6 +67,28 @@ def test_labels_differ_below_the_second_segment(spark):
     assert got["http://h/one/two/three/4/five"]["url_template"] == "h/one/two/three/*/five"
 
 
+def test_branches_are_merged_with_each_other(spark):
+    """Two clusters: the few labels of a bad branch count with those of the other bad ones, not with the good ones'."""
+    rows = [(f"http://h/{b}/{i}", bad) for b, bad, n in (("a", 0, 400), ("b", 0, 300), ("x", 1, 12), ("y", 1, 9), ("z", 1, 4)) for i in range(n)] + [("http://h/new/1", None)] * 3
+    got = {r["url"].split("/")[3]: r for r in U.filter_urls(spark.createDataFrame(rows, "url string, label int"), "url", (), label="label").collect()}
+    assert {b: r["url_verdict"] for b, r in got.items()} == {"a": "allow", "b": "allow", "x": "block", "y": "block", "z": "block", "new": "allow"}
+    assert got["x"]["url_purity"] == got["y"]["url_purity"] == got["z"]["url_purity"] and got["a"]["url_purity"] == got["b"]["url_purity"]
+
+
+def test_query_blocks_by_the_method(spark, tmp_path):
+    """A host that the rules only block: what no rule covers there is blocked, too; other hosts are not."""
+    urls = [f"http://a.com/de/{i}" for i in range(40)] + ["http://a.com/it/1", "http://a.com/it/2", "http://a.com/it/3"] + [f"http://b.com/{x}/{i}" for x in ("de", "fr") for i in range(20)]
+    urls += ["http://b.com/it/1", "http://c.net/it/1", "http://c.org/it/1", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in U.op4_url_filter(spark, str(tmp_path)).collect()}
+    by = {u: got[i] for i, u in enumerate(urls)}
+    assert by["http://a.com/it/2"]["verdict"] == "block" and by["http://a.com/it/2"]["rule"] is None
+    assert [by[u]["verdict"] for u in ("http://b.com/it/1", "http://c.net/it/1", "http://c.org/it/1", None)] == ["allow"] * 4
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert {r[0]: r[1] for r in c.execute(f"SELECT page_id, verdict FROM ({U.OP4_SQL})").fetchall()} == {i: r["verdict"] for i, r in got.items()}
+
+
 def test_empty_and_repeated(spark):
     pages = spark.createDataFrame([("http://a.net/x",)] * 3, "url string")
     assert U.filter_urls(pages, "url", U.RULES).count() == 3 and U.filter_urls(pages.where("false"), "url", U.RULES).count() == 0
