@@ -7,11 +7,14 @@ under one parent, are joined by smoothness edges. The minimum cut separates cont
 found by max-flow over the blocks that their own costs don't decide (a block whose preference outweighs all its
 smoothness edges is on its own side in every minimum cut, so it is taken out first and its edges become costs).
 
-The classifier's weights are set by hand (`WEIGHTS`): no table holds labelled blocks. Elements that never hold
-an article's text (scripts, menus, footers, asides and so on, and what is hidden) have an infinite cost. Forms and class
-words (sidebar, comments and so on) only mark what is in them, at a finite cost. A mark ends at an article in it, but for those
-of comments, advertisements and the like; none counts that holds most of the page's text, with no article outside.
-Words after has-, no- and the like tell of another element.
+The classifier is a logistic regression, learned from at most `sample_pages` pages with an article element: their blocks are
+labelled content inside it and boilerplate outside or in what no article's text is (menus, asides, forms, class words of comments
+and so on). Every block counts twice, with and without the article as a feature, so the weights also serve pages that have none.
+`PRIOR` is where a weight stays of which the sample tells nothing; the sample counts as much as `evidence` blocks.
+What is no text (scripts, styles, what is hidden) has an infinite cost; all else that speaks against a block has a finite one.
+Form and class words only mark what is in them. A mark ends at an article in it, but for those of comments,
+advertisements and the like; none counts that holds most of the page's text, with no article outside. Words after has-, no- and
+the like tell of another element.
 
 Defined results: null and empty pages have the empty text; repeated rows repeated results; broken markup is read as browsers
 read it, as far as open elements go; nothing is dropped for length.
@@ -21,9 +24,11 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
+from operator import mul
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +43,9 @@ RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "nofr
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements whose text goes on in the block around them.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: What never holds an article's text, by element and by word of class, id or role.
-NEVER = set("head nav footer aside button select option script style noscript template object svg math canvas dialog menu iframe audio video".split())
+#: What holds no text of the page, and what no article's text, by element and by word of class, id or role.
+NEVER = set("head button select option script style noscript template object svg math canvas iframe audio video".split())
+CHROME = set("nav footer aside dialog menu".split())
 NEVER_WORDS = set(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer footnav sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies "
     "consent gdpr notice alert popup modal overlay comment comments commentlist disqus reply replies respond discussion share sharing social related recommended newsletter subscribe signup login search "
@@ -55,14 +61,17 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "opt
 #: Inside these an open element of the kind is another's.
 SCOPES = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "html", "blockquote", "td", "th", "aside", "nav", "footer", "header", "form"}
 
-WEIGHTS = {"base": -0.6, "per_80_chars": 1.0, "most_length": 2.5, "sentence": 0.8, "links": -4.0, "in_article": 2.5, "in_content": 1.2, "heading": 0.3, "list": -0.5, "marked": -6.0}
-ADJACENT, SIBLING, INFINITE = 0.4, 0.6, 1e9
+#: Weights before anything is learned: of the constant, 80 characters (2.5 times at most), a sentence's end, the share of link text, and so on.
+PRIOR = {"base": -0.6, "length": 1.0, "sentence": 0.8, "links": -4.0, "article": 2.5, "content": 1.2, "heading": 0.3, "list": -0.5, "marked": -6.0, "chrome": -9.0}
+Weights = tuple[float, ...]
+ADJACENT, SIBLING, INFINITE = 0.5, 1.0, 1e9
 
 
 @dataclass
 class Element:
     tag: str
     never: bool
+    chrome: bool
     article: bool
     content: bool
     number: int
@@ -74,6 +83,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     never: bool = False
+    chrome: bool = False
     article: bool = False
     content: bool = False
     tag: str = ""
@@ -83,7 +93,8 @@ class Block:
 
 
 def element(tag: str, attributes: str, above: Element, number: int) -> Element:
-    never, article, content = above.never or tag in NEVER, above.article or tag in ("article", "main"), above.content
+    never, chrome = above.never or tag in NEVER, above.chrome or tag in CHROME or tag == "header" and not above.article
+    article, content = above.article or tag in ("article", "main"), above.content
     marked, sticky = tag == "form", False
     if tag not in ("html", "body") and attributes.strip():
         words: set[str] = set()
@@ -98,19 +109,17 @@ def element(tag: str, attributes: str, above: Element, number: int) -> Element:
         content = content or bool(words & CONTENT_WORDS)
         marked = marked or bool(words & HEADER_WORDS) and not above.article
         sticky = bool(words & STICKY_WORDS)
-    if tag == "header" and not above.article:
-        never = True
     marks = above.marks
     if marked:
         marks |= {(number, sticky)}
     elif tag in ("article", "main"):
         marks = frozenset(m for m in marks if m[1])
-    return Element(tag, never, article, content, number, marks)
+    return Element(tag, never, chrome, article, content, number, marks)
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order."""
-    stack = [Element("", False, False, False, 0)]
+    stack = [Element("", False, False, False, False, 0)]
     out: list[Block] = []
     now: Block | None = None
     number, at, links = 0, 0, 0
@@ -125,9 +134,10 @@ def blocks_of(page: str) -> list[Block]:
             top = stack[-1]
             holder = next((e for e in reversed(stack) if e.tag not in INLINE), stack[0])
             outer = next((e for e in reversed(stack) if e.tag not in INLINE and e is not holder), stack[0])
-            now = Block(never=top.never, article=top.article, content=top.content, tag=holder.tag, parent=outer.number, marks=top.marks)
+            now = Block(never=top.never, chrome=top.chrome, article=top.article, content=top.content, tag=holder.tag, parent=outer.number, marks=top.marks)
             out.append(now)
         now.never = now.never and stack[-1].never
+        now.chrome = now.chrome and stack[-1].chrome
         now.marks &= stack[-1].marks
         now.parts.append(text)
         if links:
@@ -200,7 +210,7 @@ def blocks_of(page: str) -> list[Block]:
 
 def unmarked(blocks: list[Block]) -> list[Block]:
     """The blocks, without the marks of elements that hold most of the page's text, if no article is outside them."""
-    open_ = [b for b in blocks if not b.never]
+    open_ = [b for b in blocks if not b.never and not b.chrome]
     if not any(b.marks for b in open_) or any(not b.marks and (b.article or b.content) for b in open_):
         return blocks
     held: dict[tuple[int, bool], float] = {}
@@ -214,16 +224,65 @@ def unmarked(blocks: list[Block]) -> list[Block]:
     return blocks
 
 
-def preference(b: Block) -> float:
-    """Log-odds for content by the classifier; minus infinity where no article's text can be, less where a form or class word marks it."""
-    if b.never:
-        return -INFINITE
-    w = WEIGHTS
-    score = w["base"] + min(len(b.text) / 80 * w["per_80_chars"], w["most_length"]) + w["links"] * b.linked
-    score += w["sentence"] * any(c in b.text for c in ".!?。")
-    score += w["in_article"] if b.article else w["in_content"] if b.content else 0
-    score += w["marked"] if b.marks else 0
-    return score + w["heading"] * (b.tag in ("h1", "h2", "h3")) + w["list"] * (b.tag == "li" and not b.article)
+def features(b: Block, article: bool = True) -> Weights:
+    """A block's features, in the order of PRIOR. article: whether to look at the element of that name."""
+    article = article and b.article
+    sentence = any(c in b.text for c in ".!?。")
+    return (1.0, min(len(b.text) / 80, 2.5), float(sentence), b.linked, float(article), float(b.content and not article), float(b.tag in ("h1", "h2", "h3")), float(b.tag == "li" and not article), float(bool(b.marks)), float(b.chrome))
+
+
+def preference(b: Block, weights: Weights) -> float:
+    """Log-odds for content by the classifier; minus infinity for what is no text."""
+    return -INFINITE if b.never else sum(map(mul, weights, features(b)))
+
+
+def learned(rows: list[tuple[float, ...]], evidence: float = 200.0, spread: float = 2.0) -> Weights:
+    """The most likely weights: of logistic regression on rows (features, label, how often), which count as `evidence` in all, with a normal prior around PRIOR."""
+    prior = np.array(list(PRIOR.values()))
+    if not rows:
+        return tuple(prior.tolist())
+    data = np.array(rows, dtype=np.float64)
+    x, y, n = data[:, :-2], data[:, -2], data[:, -1] * (evidence / data[:, -1].sum())
+    w = prior.copy()
+    for _ in range(50):  # Newton's steps, halved where they don't help
+        loss = lambda w: float((n * (np.logaddexp(0, x @ w) - y * (x @ w))).sum() + ((w - prior) ** 2).sum() / (2 * spread**2))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + np.eye(len(w)) / spread**2, x.T @ (n * (p - y)) + (w - prior) / spread**2)
+        size = 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if abs(size * step).max() < 1e-8:
+            break
+    return tuple(w.tolist())
+
+
+def labelled(page: str | None) -> list[tuple[float, ...]]:
+    """Features and label of the blocks of a page that has an article, with the article as a feature and without."""
+    found = [b for b in blocks_of(page or "") if not b.never]
+    if not any(b.article for b in found):
+        return []
+    return [(*features(b, see), float(b.article and not b.chrome and not b.marks)) for b in found for see in (True, False)]
+
+
+def train(pages: DataFrame, page: str = "html", key: str = "page_id", sample_pages: int = 1000) -> Weights:
+    """Weights learned from at most `sample_pages` pages (those with the smallest hashes of `key`) that have an article element.
+
+    Features are rounded to a tenth and rows that are alike are counted in the executors, so that the driver gets few.
+    """
+    hashed = F.xxhash64(F.col(f"`{key}`"))
+    rows = pages.where(F.col(f"`{page}`").rlike("(?i)<(article|main)[\\s>]"))
+    end = rows.select(hashed.alias("h")).orderBy("h").limit(sample_pages).agg(F.max("h")).first()[0]
+    if end is None:
+        return learned([])
+    names = [*PRIOR, "label"]
+
+    def work(batch: dict) -> dict:
+        counts = Counter(tuple(round(v, 1) for v in r) for p in batch[page] for r in labelled(p))
+        return {c: [r[i] for r in counts] for i, c in enumerate(names)} | {"n": list(counts.values())}
+
+    found = map_rows(rows.where(hashed <= end), [page], ", ".join(f"`{c}` double" for c in names) + ", n long", lambda: work)
+    return learned(sorted(tuple(r) for r in found.groupBy(*names).agg(F.sum("n").cast("double").alias("n")).collect()))
 
 
 def min_cut(prefer: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -253,37 +312,65 @@ def min_cut(prefer: list[float], edges: list[tuple[int, int, float]]) -> list[bo
 
 
 def _max_flow(nodes: list[int], prefer: list[float], near: list[dict[int, float]]) -> set[int]:
-    """Augments along shortest paths; gives the nodes that the source still reaches."""
-    source, sink = -1, -2
-    room: dict[int, dict[int, float]] = {i: {j: w for j, w in near[i].items()} for i in nodes}
-    room[source], room[sink] = {}, {}
+    """Blocking flows along levels of distance from the source; gives the nodes that the source still reaches."""
+    at = {i: x for x, i in enumerate(nodes)}
+    source, sink = len(nodes), len(nodes) + 1
+    heads: list[list[int]] = [[] for _ in range(sink + 1)]  # of each node, its edges; an edge's reverse is its number ^ 1
+    to: list[int] = []
+    room: list[float] = []
+
+    def connect(i: int, j: int, there: float, back: float) -> None:
+        for x, y, r in ((i, j, there), (j, i, back)):
+            heads[x].append(len(to))
+            to.append(y)
+            room.append(r)
+
     for i in nodes:
         if prefer[i] > 0:
-            room[source][i], room[i][source] = prefer[i], 0.0
+            connect(source, at[i], prefer[i], 0.0)
         elif prefer[i] < 0:
-            room[i][sink], room[sink][i] = -prefer[i], 0.0
+            connect(at[i], sink, -prefer[i], 0.0)
+        for j, w in near[i].items():
+            if i < j:
+                connect(at[i], at[j], w, w)
     while True:
-        came = {source: source}
-        queue = deque([source])
-        while queue and sink not in came:
+        level = [-1] * len(heads)
+        level[source], queue = 0, deque([source])
+        while queue:
             i = queue.popleft()
-            for j, r in room[i].items():
-                if r > 1e-12 and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if sink not in came:
-            return {i for i in came if i >= 0}
-        path, j = [], sink
-        while j != source:
-            path.append((came[j], j))
-            j = came[j]
-        push = min(room[i][j] for i, j in path)
-        for i, j in path:
-            room[i][j] -= push
-            room[j][i] = room[j].get(i, 0.0) + push
-
-
-def main_text(page: str | None) -> str:
+            for e in heads[i]:
+                if room[e] > 1e-12 and level[to[e]] < 0:
+                    level[to[e]] = level[i] + 1
+                    queue.append(to[e])
+        if level[sink] < 0:
+            return {i for i in nodes if level[at[i]] >= 0}
+        todo = [list(h) for h in heads]
+        path: list[int] = []
+        i = source
+        while True:
+            if i == sink:
+                push = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= push
+                    room[e ^ 1] += push
+                cut = next(x for x, e in enumerate(path) if room[e] <= 1e-12)
+                i = to[path[cut] ^ 1]
+                del path[cut:]
+            while todo[i]:
+                e = todo[i][-1]
+                if room[e] > 1e-12 and level[to[e]] == level[i] + 1:
+                    path.append(e)
+                    i = to[e]
+                    break
+                todo[i].pop()
+            else:
+                if i == source:
+                    break
+                i = to[path.pop() ^ 1]
+                todo[i].pop()
+
+
+def main_text(page: str | None, weights: Weights = tuple(PRIOR.values())) -> str:
     """The blocks of the content side, joined by one space."""
     found = blocks_of(page or "")
     edges = [(i, i + 1, ADJACENT) for i in range(len(found) - 1)]
@@ -292,17 +379,18 @@ def main_text(page: str | None) -> str:
         if b.parent in last:
             edges.append((last[b.parent], i, SIBLING))
         last[b.parent] = i
-    side = min_cut([preference(b) for b in found], edges)
+    side = min_cut([preference(b, weights) for b in found], edges)
     return " ".join(b.text for b, content in zip(found, side, strict=True) if content)
 
 
-def extract(pages: DataFrame, page: str = "html", columns: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """`columns` of pages, text, n_chars."""
+def extract(pages: DataFrame, page: str = "html", columns: tuple[str, ...] = ("page_id", "url"), weights: Weights | None = None) -> DataFrame:
+    """`columns` of pages, text, n_chars. Without weights they are learned from pages, whose first column of `columns` is the key."""
+    weights = train(pages, page, columns[0]) if weights is None else weights
     kinds = dict(pages.select(*[F.col(f"`{c}`") for c in columns]).dtypes)
 
     def make():
         def work(batch: dict) -> dict:
-            texts = [main_text(p) for p in batch[page]]
+            texts = [main_text(p, weights) for p in batch[page]]
             return {c: batch[c] for c in columns} | {"text": texts, "n_chars": list(map(len, texts))}
 
         return work

@@ -5,6 +5,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+
 from millrace.llm import html_text as H
 
 
@@ -49,6 +51,59 @@ def test_class_words_of_wrappers():
     assert H.main_text(f'<div class="no-comments"><script>{story}</script><div hidden>{article}</div></div>') == ""
 
 
+def learned():
+    """Weights of pages as a site has them."""
+    draw = random.Random(5)
+    words = lambda n: " ".join(draw.choice("the house stands on a hill and looks over many fields".split()) for _ in range(n))
+    pages = []
+    for _ in range(60):
+        body = "".join(f"<p>{words(draw.randint(4, 60))}.</p>" for _ in range(draw.randint(2, 8)))
+        links = "".join(f'<li><a href="/x">{words(2)}</a></li>' for _ in range(6))
+        pages.append(f'<body><nav><ul>{links}</ul></nav><div>{words(3)}</div><article><h1>{words(5)}</h1>{body}</article><div class="ad">{words(12)}.</div><footer>{words(4)}</footer></body>')
+    return H.learned([(*r, 1.0) for p in pages for r in H.labelled(p)])
+
+
+def test_learned_weights():
+    w = dict(zip(H.PRIOR, learned(), strict=True))
+    assert w["article"] > 0 and w["length"] > 0 > w["links"] and w["marked"] < -3 and w["chrome"] < -3 and all(map(np.isfinite, w.values()))
+    assert H.learned([]) == tuple(H.PRIOR.values())
+    weights = tuple(w.values())
+    assert H.main_text(PAGE, weights) == TEXT
+    assert H.main_text(PAGE.replace("<article><h1>", "<div><h1>", 1).replace("</article>\n<aside>", "</div>\n<aside>"), weights) == TEXT
+
+
+def test_the_cut_decides():
+    """Without an article element: short lines alone look like boilerplate, and between the paragraphs of a text they are content."""
+    long = "<p>One long paragraph of the story, with words enough to be one, and some more of them to go on.</p>"
+    page = f'<body><div><a href="/">Home</a></div><div>{long}<p>Well then</p>{long}<p>Said he</p>{long}</div><div><span>Imprint</span></div></body>'
+    for weights in (tuple(H.PRIOR.values()), learned()):
+        found = H.blocks_of(page)
+        alone = [H.preference(b, weights) > 0 for b in found]
+        assert [b.text for b, x in zip(found, alone, strict=True) if not x] == ["Home", "Well then", "Said he", "Imprint"]
+        got = H.main_text(page, weights)
+        assert "Well then" in got and "Said he" in got and "Home" not in got and "Imprint" not in got
+
+
+def test_what_is_no_article_has_a_finite_cost():
+    """A section of class legal, tags or search that is most of the page is its text; beside an article it is not."""
+    body = "<p>The legal section of the article is long, and it goes on for a while so that it is a text.</p>" * 3
+    for word in ("legal", "tags", "search", "discussion"):
+        assert H.main_text(f'<body><nav>Home</nav><div class="{word}">{body}</div></body>').count("legal section") == 3
+        assert H.main_text(f'<body><article><p>Here is the article, and it is this sentence.</p></article><div class="{word}">{body}</div></body>') == "Here is the article, and it is this sentence."
+
+
+def test_long_pages_of_undecided_blocks():
+    draw = random.Random(1)
+    prefer = [draw.uniform(-2, 2) for _ in range(30_000)]
+    edges = [(i, i + 1, 1.0) for i in range(len(prefer) - 1)]
+    side = H.min_cut(prefer, edges)
+    paths = [0.0, 0.0]  # the least cost of a chain, by the side of its last block
+    for i, p in enumerate(prefer):
+        own = max(p, 0), max(-p, 0)
+        paths = [own[x] + min(paths[x], paths[1 - x] + (1.0 if i else 0.0)) for x in (0, 1)]
+    assert abs(cost(side, prefer, edges) - min(paths)) < 1e-6
+
+
 def test_broken_markup():
     assert H.main_text("<article><p>One two three four five, six.<p>Seven eight<b>nine<p>Ten &am") == "One two three four five, six. Seven eightnine Ten &am"
     assert H.main_text("<article><p>Text here is good.</p><script>if (a<b) '</article>'") == "Text here is good."
