@@ -5,9 +5,10 @@ as one state with a loop for every byte and is rebuilt merge by merge. The gadge
 wherever u and then v can be read, an arc for uv is added that leads where v led; and the state after
 u is replaced, for arcs labelled u, by a copy that lacks the arc v - after u alone, v can't follow, as
 the two would have been merged. All arcs with one label lead to one state, so a merge adds one state at
-most. Copies share their arcs with the state they were copied from: only the token that a copy lacks and the
-merge that made it are stored, so the automaton of 50,000 merges takes a few MB. Whether a state has
-an arc follows from these tables; answers are kept.
+most. While it is built, copies share their arcs with the state they were copied from: only the token that a copy
+lacks and the merge that made it are stored. Then it is compiled into a table of one bit for a state and a label: states
+with the same arcs are one row, labels that the same states lack one column (14,410 by 10,481 for 50,000 merges, 19 MB).
+The driver compiles it, and workers get the table.
 
 Every byte string has one accepted token sequence, so each position of a word can be reached in one way
 only: encoding follows the transitions, long labels first, and never tries a position twice. Words are split before as the tokenizer
@@ -20,8 +21,11 @@ import functools
 import hashlib
 import json
 import re
+from dataclasses import dataclass
 from itertools import chain
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,42 +50,72 @@ def byte_names() -> dict[str, int]:
     return names | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@dataclass(frozen=True)
+class Table:
+    """The compiled automaton: of a state (the one after a token) and a label, whether there is no arc."""
+
+    live: bytes  # of each token, whether any text has it
+    row: list[int]  # of each token, where the row of the state after it begins
+    column: list[int]  # of each token, its bit in a row
+    lacks: bytes
+
+
 class TokenAutomaton:
     """States and transitions of a byte-level BPE, built from its merges."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> None:
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], table: Table | None = None) -> None:
         names = byte_names()
         self.ids = {bytes(names[c] for c in word): i for word, i in vocab.items()}
         self.label = {i: w for w, i in self.ids.items()}
+        if table is None:
+            table = self._compiled([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
+        self.table = table
+        # the lengths of the tokens that begin with a pair of bytes, longest first
+        lengths: dict[bytes, set[int]] = {}
+        for word, i in self.ids.items():
+            if len(word) > 1 and table.live[i]:
+                lengths.setdefault(word[:2], {1}).add(len(word))
+        self.starts = {pair: tuple(sorted(sizes, reverse=True)) for pair, sizes in lengths.items()}
+
+    def has(self, after: int, token: int) -> bool:
+        """Whether the state that the automaton is in after a token has an arc for another."""
+        t = self.table
+        return bool(t.live[token]) and not t.lacks[t.row[after] + (t.column[token] >> 3)] >> (t.column[token] & 7) & 1
+
+    def _compiled(self, merges: list[tuple[int, int, int]]) -> Table:
         size = max(self.label) + 1
         # For each token, the states after it: it begins with the state after its right part, as that was when
         # the token was made, and has one copy more for each merge it stands left in: {lacking token: merge}.
         self.copies: list[dict[int, int]] = [{} for _ in range(size)]
         self.made, self.left, self.right, self.live = [-1] * size, [-1] * size, [-1] * size, [True] * size
-        self.known: dict[int, bool] = {}
-        for n, (a, b) in enumerate(merges):
-            self._gadget(n, vocab[a], vocab[b], vocab[a + b])
-        # the lengths of the tokens that begin with a pair of bytes, longest first
-        lengths: dict[bytes, set[int]] = {}
-        for word in self.ids:
-            if len(word) > 1 and self.live[self.ids[word]]:
-                lengths.setdefault(word[:2], {1}).add(len(word))
-        self.starts = {pair: tuple(sorted(sizes, reverse=True)) for pair, sizes in lengths.items()}
+        for n, (u, v, uv) in enumerate(merges):
+            self._gadget(n, u, v, uv)
+        live = bytes(self.live)
+        lacks = self._lacking(size)
+        # rows and columns that are alike are kept once
+        alike: dict[bytes, int] = {}
+        row = np.array([alike.setdefault(r.tobytes(), len(alike)) for r in lacks], dtype=np.int64)
+        del lacks
+        rows = np.frombuffer(b"".join(alike), dtype=np.uint8).reshape(len(alike), -1)
+        digest, turn = np.zeros((2, size), dtype=np.uint64), np.array([[0x9E3779B97F4A7C15], [0xC2B2AE3D27D4EB4F]], dtype=np.uint64)
+        for low in range(0, len(rows), 64):  # 64 bits of each column at a time
+            part = np.zeros((64, rows.shape[1]), dtype=np.uint8)
+            part[: len(rows[low : low + 64])] = rows[low : low + 64]
+            words = np.packbits(np.unpackbits(part, axis=1, count=size, bitorder="little"), axis=0, bitorder="little").T.copy().view(np.uint64)[:, 0]
+            digest = (digest ^ words) * turn
+            digest ^= digest >> np.uint64(31)
+        _, first, column = np.unique(digest, axis=1, return_index=True, return_inverse=True)
+        kept = [np.packbits(np.unpackbits(r, count=size, bitorder="little")[first], bitorder="little") for r in rows]
+        stride = len(kept[0]) if kept else 0
+        return Table(live, (row * stride).tolist(), column.reshape(-1).tolist(), b"".join(k.tobytes() for k in kept))
 
     def _gadget(self, n: int, u: int, v: int, uv: int) -> None:
         self.live[uv] = self.live[u] and self._has(u, v, n - 1)
         self.made[uv], self.left[uv], self.right[uv] = n, u, v
         self.copies[u].setdefault(v, n)
 
-    def has(self, after: int, token: int) -> bool:
-        """Whether the state that the finished automaton is in after a token has an arc for another."""
-        key = after << 17 | token
-        if (known := self.known.get(key)) is None:
-            known = self.known[key] = self._has(after, token, len(self.made))
-        return known
-
     def _has(self, after: int, token: int, time: int) -> bool:
-        """The same for the automaton as it was right after the merge `time`."""
+        """Whether the state after one token has an arc for another, in the automaton as it was right after the merge `time`."""
         copies, made, right = self.copies, self.made, self.right
         while True:
             owner, until = after, time
@@ -97,12 +131,49 @@ class TokenAutomaton:
             time = min(time, made[token])  # an arc for a pair is where one for its left part was
             token = self.left[token]
 
+    def _lacking(self, size: int) -> np.ndarray:
+        """What _has() denies at the end, for all states (rows) and labels (bits): each merge (u, v) takes the labels that begin with v
+        from the states that end with u, if it came before what they are part of was made."""
+        begin: dict[int, list[tuple[int, int]]] = {}  # token -> the labels that begin with it, and until when it is seen
+        end: dict[int, list[tuple[int, int]]] = {}
+        last = len(self.made) + 1
+        for t in self.label:
+            part, until = t, last
+            while part >= 0:
+                begin.setdefault(part, []).append((-until, t))
+                until, part = min(until, self.made[part]), self.left[part]
+            part, until = t, last
+            while part >= 0:
+                end.setdefault(part, []).append((until, t))
+                until, part = min(until, self.made[part] - 1), self.right[part]
+        labels = {v: (np.array([x for x, _ in sorted(seen)]), np.array([t for _, t in sorted(seen)])) for v, seen in begin.items()}
+        out = np.zeros((size, (size + 7) // 8), dtype=np.uint8)
+        for u, states in end.items():
+            merges = sorted((n, v) for v, n in self.copies[u].items())
+            if not merges:
+                continue
+            taken, packed, at = np.zeros(size, dtype=bool), None, 0
+            for until, state in sorted(states):
+                began = at
+                while at < len(merges) and merges[at][0] <= until:
+                    n, v = merges[at]
+                    times, which = labels[v]
+                    taken[which[: np.searchsorted(times, -n, side="right")]] = True
+                    at += 1
+                if at > began:
+                    packed = np.packbits(taken, bitorder="little")
+                if packed is not None:
+                    out[state] |= packed
+        return out
+
     def encode(self, word: bytes) -> list[int]:
         """The ids of one word."""
         whole = self.ids.get(word)
-        if whole is not None and self.live[whole]:
+        t = self.table
+        if whole is not None and t.live[whole]:
             return [whole]
-        n, ids, starts, known = len(word), self.ids, self.starts, self.known
+        n, ids, starts = len(word), self.ids, self.starts
+        live, row, column, lacks = t.live, t.row, t.column, t.lacks
         out: list[int] = []
         options = [iter(starts.get(word[:2], ONE))]
         dead: set[int] = set()
@@ -112,11 +183,7 @@ class TokenAutomaton:
                 token = ids.get(word[at : at + size], -1) if at + size <= n else -1
                 if token < 0 or at + size in dead:
                     continue
-                if last < 0:
-                    can = self.live[token]
-                elif (can := known.get(last << 17 | token)) is None:
-                    can = self.has(last, token)
-                if can:
+                if live[token] and (last < 0 or not lacks[row[last] + (column[token] >> 3)] >> (column[token] & 7) & 1):
                     at += size
                     last = token
                     out.append(token)
@@ -133,11 +200,11 @@ class TokenAutomaton:
 class BpeCodec:
     """encode() and decode() of a tokenizer file of the kind ByteLevel BPE without normalizer."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, table: Table | None = None) -> None:
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.automaton = TokenAutomaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
+        self.automaton = TokenAutomaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], table)
         self.bytes_of = self.automaton.label | {i: s.encode() for s, i in self.special.items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words: dict[str, tuple[int, ...]] = {}
@@ -193,10 +260,19 @@ class BpeCodec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
-def codec(path: str) -> BpeCodec:
-    """One codec for a file in each Python process; building it takes about a second."""
-    return BpeCodec(path)
+_CODECS: dict[str, BpeCodec] = {}
+
+
+def codec(path: str, table: Broadcast | None = None) -> BpeCodec:
+    """One codec for a file in each Python process. Without a table it compiles one, which takes some seconds and 400 MB for a while."""
+    if path not in _CODECS:
+        _CODECS[path] = BpeCodec(path, table.value if table else None)
+    return _CODECS[path]
+
+
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """The compiled table for workers: its size is the vocabulary's, whatever the corpus'."""
+    return spark.sparkContext.broadcast(codec(path).automaton.table)
 
 
 def vocabulary(name: str) -> str:
@@ -209,8 +285,10 @@ def encode_documents(documents: DataFrame, path: str, key: str = "doc_id", text:
     """key, ids array<int>: the token ids of every text (null or empty: none)."""
     kind = dict(documents.select(F.col(f"`{key}`")).dtypes)[key]
 
+    table_ = shipped(documents.sparkSession, path)
+
     def make():
-        c = codec(path)
+        c = codec(path, table_)
         return lambda batch: {key: batch[key], "ids": [c.encode(t) for t in batch[text]]}
 
     return map_rows(documents, [key, text], f"`{key}` {kind}, ids array<int>", make)
@@ -220,8 +298,10 @@ def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: st
     """key, text: what the ids stand for (null ids: empty)."""
     kind = dict(encoded.select(F.col(f"`{key}`")).dtypes)[key]
 
+    table_ = shipped(encoded.sparkSession, path)
+
     def make():
-        c = codec(path)
+        c = codec(path, table_)
         return lambda batch: {key: batch[key], "text": [c.decode(x or []) for x in batch[ids]]}
 
     return map_rows(encoded, [key, ids], f"`{key}` {kind}, text string", make)
@@ -234,8 +314,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     path = vocabulary("byte_bpe_50k.json")
 
+    table_ = shipped(spark, path)
+
     def make():
-        c = codec(path)
+        c = codec(path, table_)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         decimal = {i: str(i) for i in c.bytes_of}
 

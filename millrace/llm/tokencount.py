@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import codec, vocabulary
+from millrace.llm.bpe import codec, shipped, vocabulary
 from millrace.llm.common import cut, map_rows, table
 
 BLOCK = 256
@@ -24,8 +24,10 @@ BLOCK = 256
 def token_lengths(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
     """length: the number of tokens of each text."""
 
+    table_ = shipped(documents.sparkSession, path)
+
     def make():
-        count = codec(path).count
+        count = codec(path, table_).count
         return lambda batch: {"length": list(map(count, batch[text]))}
 
     return map_rows(documents, [text], "length long", make)

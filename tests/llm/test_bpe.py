@@ -56,6 +56,20 @@ def test_states_only_forbid_what_would_merge():
     assert a.encode(b"th") == [a.ids[b"th"]]
 
 
+def test_table_is_what_the_gadgets_make():
+    from millrace.llm.bpe import TokenAutomaton
+
+    a = codec(PATH).automaton
+    draw, tokens = random.Random(4), list(a.label)
+    pairs = [(draw.choice(tokens), draw.choice(tokens)) for _ in range(50_000)] + [(a.ids[x], a.ids[y]) for x in (b"t", b" t", b"in") for y in (b"h", b"g", b"he", b"ing")]
+    assert all(a.has(u, v) == a._has(u, v, len(a.made)) for u, v in pairs)
+    assert len(a.table.lacks) < 20_000_000
+    small = TokenAutomaton({"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}, [("a", "b"), ("b", "a"), ("ab", "a")])
+    assert [small.encode(w) for w in (b"aba", b"bab", b"baba", b"abab")] == [[4], [1, 2], [1, 4], [2, 2]]
+    again = TokenAutomaton({"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}, [], small.table)
+    assert again.encode(b"bbaba") == small.encode(b"bbaba")
+
+
 def test_frames(spark):
     docs = spark.createDataFrame([(1, "hello world", 5), (2, None, 6), (3, "", 7), (3, "", 7)], "doc_id long, text string, ids int")
     out = encode_documents(docs, PATH)
