@@ -4,9 +4,9 @@ A leaf is a sentence (or a part of 200 characters of a longer one) with what end
 are the text. The leaves up to a line break are a paragraph. A section ends after a blank line or after a
 paragraph whose hash says so (one in eight), so an edit does not move the sections after it. A node's hash
 is the hash of its children's; equal roots mean equal texts, and where hashes differ, the branch leads to
-the edit (`differences`). A fingerprint is a string: the root, then the leaves' hashes, with `,` between
+the edit (`differences`, the column `changed`: paragraphs that the edited text lacks). A fingerprint is a string: the root, then the leaves' hashes, with `,` between
 paragraphs and `;` between sections; inner hashes follow from it. The likeness of two fingerprints is
-the Dice coefficient of their leaves as multisets (two empty texts: 1).
+the Dice coefficient of their leaves as multisets (two empty texts: 1), found by going down from the roots into what differs.
 
 Defined results: a null text counts as empty; the empty text has a root and no leaves. Repeated rows (also
 of one doc_id) give one result each, in the order of doc_id, null ids first. A table of one row is its own next.
@@ -75,37 +75,77 @@ def leaves(print_: str) -> list[str]:
     return [flat[i : i + LEAF_HEX] for i in range(0, len(flat), LEAF_HEX)]
 
 
+def branches(print_: str, sep: str) -> Counter:
+    return Counter(print_.partition(":")[2].split(sep))
+
+
+def common_leaves(a: str, b: str) -> int:
+    """How many leaves two fingerprints share, as multisets. Goes down from the roots: a branch that both have counts as a whole,
+    and only what is left of either is opened."""
+    if a.partition(":")[0] == b.partition(":")[0]:
+        return len(leaves(a))
+    x, y, same = branches(a, ";"), branches(b, ";"), 0
+    for sep in (",", ""):
+        both = x & y
+        same += sum(n * (len(branch) - branch.count(",")) // LEAF_HEX for branch, n in both.items())
+        x, y = opened(x - both, sep), opened(y - both, sep)
+    return same + (x & y).total()
+
+
+def opened(some: Counter, sep: str) -> Counter:
+    """The children of branches, as often as they occur: paragraphs of sections, or (without a separator) leaves of paragraphs."""
+    out: Counter = Counter()
+    for branch, n in some.items():
+        for child in branch.split(sep) if sep else [branch[i : i + LEAF_HEX] for i in range(0, len(branch), LEAF_HEX)]:
+            out[child] += n
+    return out
+
+
 def likeness(a: str, b: str) -> float:
     """2 x common leaves / all leaves, between 0 and 1; equal fingerprints: 1."""
     if a == b:
         return 1.0
-    x, y = leaves(a), leaves(b)
-    small, large = Counter(x), Counter(y)
-    return 2 * sum(min(n, large[h]) for h, n in small.items() if h in large) / (len(x) + len(y))
+    return 2 * common_leaves(a, b) / (size_of(a) + size_of(b))
+
+
+def size_of(print_: str) -> int:
+    """How many leaves there are."""
+    inner = len(print_) - print_.index(":") - 1
+    return (inner - print_.count(",") - print_.count(";")) // LEAF_HEX
 
 
 def differences(a: str, b: str) -> list[tuple[int, int]]:
     """(section, paragraph) of a, from 0, of the paragraphs that b lacks: only differing branches are followed."""
     if a.partition(":")[0] == b.partition(":")[0]:
         return []
-    sections = Counter(b.partition(":")[2].split(";"))
-    paragraphs = Counter(b.partition(":")[2].replace(";", ",").split(","))
+    sections, paragraphs = branches(b, ";"), Counter(b.partition(":")[2].replace(";", ",").split(","))
     out = []
     for i, section in enumerate(a.partition(":")[2].split(";")):
         if sections[section] > 0:  # the same branch: nothing below differs
             sections[section] -= 1
             continue
-        out += [(i, j) for j, p in enumerate(section.split(",")) if not paragraphs[p]]
+        out += [(i, j) for j, p in enumerate(section.split(",")) if p and not paragraphs[p]]
     return out
 
 
+def ranges(found: list[tuple[int, int]]) -> str:
+    """`section.paragraph` of each difference, neighbours of one section as `section.first-last`, joined by commas."""
+    out: list[list[int]] = []
+    for i, j in found:
+        if out and out[-1][0] == i and out[-1][2] == j - 1:
+            out[-1][2] = j
+        else:
+            out.append([i, j, j])
+    return ",".join(f"{i}.{a}" if a == b else f"{i}.{a}-{b}" for i, a, b in out)
+
+
 def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fingerprint of every text."""
     kind = dict(documents.select(F.col(f"`{key}`")).dtypes)[key]
     return map_rows(documents, [key, text], f"`{key}` {kind}, fingerprint string", lambda: lambda batch: {key: batch[key], "fingerprint": [fingerprint(t) for t in batch[text]]})
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, changed string"
 
 
 def compared(doc_id: int | None, text: str, own: str, known: dict[str, str], next_text: str, next_print: str) -> tuple:
@@ -113,7 +153,7 @@ def compared(doc_id: int | None, text: str, own: str, known: dict[str, str], nex
     quarter = len(text) // 4
     edited = text[: len(text) - quarter] + next_text[:quarter]
     changed = fingerprint(edited, known)
-    return doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, changed, likeness(own, changed), likeness(own, next_print)
+    return doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, changed, likeness(own, changed), likeness(own, next_print), ranges(differences(own, changed))
 
 
 def with_next(documents: DataFrame, rows_per_block: int = 2000, most_blocks: int = 20_000) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fingerprints: equality, edits, and the order of documents."""
 
 import hashlib
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +35,63 @@ def test_differences_locate_an_edit():
     assert 0.95 < M.likeness(before, after) < 1
 
 
+def plain_leaves(text):
+    """Leaves by looking at one character after the other."""
+    out, i, n = [], 0, len(text)
+    while i < n:
+        k = i
+        while k < n and k - i < 200 and text[k] not in ".!?\n":
+            k += 1
+        ends = k
+        while k < n and text[k] in ".!?":
+            k += 1
+        if k > ends and text[k : k + 1] == " ":
+            k += 1
+        if text[k : k + 1] == "\n":
+            k += 1
+        out.append(text[i:k])
+        i = k
+    return out
+
+
+def plain_print(text):
+    """The tree of nested lists, hashed from the bottom."""
+    h = lambda x, n=6: hashlib.blake2b(x.encode(), digest_size=n).hexdigest()
+    sections, paragraph = [[]], []
+    for leaf in plain_leaves(text):
+        paragraph.append(leaf)
+        if leaf.endswith("\n"):
+            sections[-1].append(paragraph)
+            if paragraph == ["\n"] or int(h("".join(map(h, paragraph)))[:2], 16) % 8 == 0:
+                sections.append([])
+            paragraph = []
+    sections[-1] += [paragraph] if paragraph else []
+    sections = [[list(map(h, p)) for p in s] for s in sections if s] or [[[]]]
+    tops = [h("".join(h("".join(p)) for p in s)) for s in sections]
+    return h("".join(tops), 16), [x for s in sections for p in s for x in p]
+
+
+def plain_likeness(a, b):
+    (ra, x), (rb, y) = plain_print(a), plain_print(b)
+    if ra == rb:
+        return 1.0
+    return 2 * sum((Counter(x) & Counter(y)).values()) / (len(x) + len(y))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab. \n!é", max_size=120), st.text(alphabet="ab. \n!é", max_size=120), st.integers(0, 3))
+def test_against_a_plain_tree(a, b, times):
+    a, b = a * times + b, b + a
+    assert plain_leaves(a) == M.LEAF.findall(a)
+    assert M.fingerprint(a).partition(":")[0] == plain_print(a)[0] and M.leaves(M.fingerprint(a)) == plain_print(a)[1]
+    assert abs(M.likeness(M.fingerprint(a), M.fingerprint(b)) - plain_likeness(a, b)) < 1e-12
+    assert M.size_of(M.fingerprint(a)) == len(plain_leaves(a))
+
+
+def test_ranges():
+    assert M.ranges([]) == "" and M.ranges([(0, 1), (0, 2), (0, 4), (1, 5), (2, 6)]) == "0.1-2,0.4,1.5,2.6"
+
+
 def brute(docs):
     docs = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
     out = []
@@ -42,7 +100,8 @@ def brute(docs):
         q = len(t) // 4
         e = t[: len(t) - q] + n[:q]
         own, changed, other = M.fingerprint(t), M.fingerprint(e), M.fingerprint(n)
-        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), own, changed, M.likeness(own, changed), M.likeness(own, other)))
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), own, changed, plain_likeness(t, e), plain_likeness(t, n), M.ranges(M.differences(own, changed))))
+        assert own.partition(":")[0] == plain_print(t)[0] and changed.partition(":")[0] == plain_print(e)[0]
     return out
 
 
