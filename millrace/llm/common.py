@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,9 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch that goes to a Python worker. Texts can be long, so this is
-#: less than Spark's own 10,000: a batch of 500 texts of 100,000 characters is 50 MB.
-ARROW_ROWS = 500
+from millrace.sources.shared import shared_folder
+
+#: Rows and bytes in one Arrow batch that goes to a Python worker, whichever comes first: texts can be long.
+ARROW_ROWS, ARROW_BYTES = 500, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,25 +32,10 @@ def bounded_batches(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), root]))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset (tests in local mode) a temporary folder is made and set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isDefined():
-            return made.get()
-        where = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(where)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return where
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
