@@ -21,6 +21,7 @@ import math
 import re
 from array import array
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,9 +126,10 @@ class Scorer:
     """A model with the words it has scored."""
 
     def __init__(self, model: LanguageModel) -> None:
-        self.model, self.kept, self.rows = model, {}, np.zeros((1024, len(model.langs)))
+        self.model, self.kept, self.rows = model, {}, np.zeros((1024, len(model.langs) + 1))  # the last column: letters
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, int]]:
+        """Language, score, the text's log-likelihood in that language, and its letters."""
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
         split = [words_of(t) if t else [] for t in texts]
@@ -136,24 +138,32 @@ class Scorer:
             at = len(self.kept)
             if (grown := at + len(new)) > len(self.rows):
                 self.rows = np.concatenate([self.rows[:at], np.zeros((max(grown, 2 * at) - at, self.rows.shape[1]))])
-            self.rows[at:grown] = self.model.word_logs(new)
+            self.rows[at:grown, :-1] = self.model.word_logs(new)
+            self.rows[at:grown, -1] = list(map(len, new))
             self.kept.update(zip(new, range(at, grown), strict=True))
         return list(map(self._best, split))
 
-    def _best(self, words: list[str]) -> tuple[str, float]:
+    def _best(self, words: list[str]) -> tuple[str, float, float, int]:
         if not self.model.langs or not any(c.isalpha() for w in words for c in w):
-            return UNDETERMINED, 0.0
-        total = self.rows[list(map(self.kept.__getitem__, words))].sum(axis=0) + self.model.prior
+            return UNDETERMINED, 0.0, 0.0, 0
+        sums = self.rows[list(map(self.kept.__getitem__, words))].sum(axis=0)
+        total = sums[:-1] + self.model.prior
         best = int(total.argmax())
-        return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+        return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum()), float(sums[best]), int(sums[-1])
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 4000, smoothing: float = 0.5) -> LanguageModel:
-    """A model from at most `sample_docs` rows (those with the smallest hashes of key and text's length)."""
+def sample(labelled: DataFrame, text: str, lang: str, key: str, sample_docs: int) -> DataFrame | None:
+    """The labelled rows with the smallest hashes of key, about `sample_docs`; None if there are none."""
     hashed = F.xxhash64(F.col(f"`{key}`"))
     rows = labelled.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     end = rows.select(hashed.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    if end is None:
+    return None if end is None else rows.where(hashed <= end)
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 4000, smoothing: float = 0.5) -> LanguageModel:
+    """A model from at most `sample_docs` rows (those with the smallest hashes of key and text's length)."""
+    rows = sample(labelled, text, lang, key, sample_docs)
+    if rows is None:
         return LanguageModel([], [], np.zeros((len(vocabulary()) + 1, 0)))
 
     def make():
@@ -177,7 +187,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
         return work
 
-    counts = map_rows(rows.where(hashed <= end), [text, lang], "lang string, piece int, n long", make)
+    counts = map_rows(rows, [text, lang], "lang string, piece int, n long", make)
     found = counts.groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in found})
     column = {name: i for i, name in enumerate(langs)}
@@ -191,21 +201,50 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return LanguageModel(langs, [math.log(d / sum(docs)) for d in docs], np.vstack([(table_ + smoothing) / sizes, smoothing / sizes]))
 
 
-def predict(documents: DataFrame, model: LanguageModel, columns: list[str], text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """`columns` of documents, and the prediction and its score under names that are not among them."""
+def predict(documents: DataFrame, model: LanguageModel, columns: list[str], text: str = "text", pred: str = "lang_pred", score: str = "score", evidence: tuple[str, str] | None = None) -> DataFrame:
+    """`columns` of documents, and the prediction and its score under names that are not among them.
+
+    evidence: names of two more columns, the text's log-likelihood in the predicted language and its number of letters.
+    """
     kinds = dict(documents.select(*[F.col(f"`{c}`") for c in columns]).dtypes)
-    wanted = list(dict.fromkeys([*columns, text]))
+    wanted, added = list(dict.fromkeys([*columns, text])), [pred, score, *(evidence or ())]
 
     def make():
         scorer = Scorer(model)
 
         def work(batch: dict) -> dict:
             found = scorer.predict(batch[text])
-            return {c: batch[c] for c in columns} | {pred: [x[0] for x in found], score: [x[1] for x in found]}
+            return {c: batch[c] for c in columns} | {c: [x[i] for x in found] for i, c in enumerate(added)}
 
         return work
 
-    return map_rows(documents, wanted, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", `{pred}` string, `{score}` double", make)
+    return map_rows(documents, wanted, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + "".join(f", `{c}` {kind}" for c, kind in zip(added, ("string", "double", "double", "long"), strict=False)), make)
+
+
+@dataclass(frozen=True)
+class Typical:
+    """What texts of the learned languages are like: log-likelihood for a letter. A text of few letters is drawn to the middle."""
+
+    middle: float
+    floor: float
+    letters: int = 50
+
+    def fits(self, total: Column, letters: Column) -> Column:
+        return (total + self.letters * self.middle) / (letters + self.letters) >= self.floor
+
+
+def typical(labelled: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 4000, spreads: float = 10.0, least: float = 1.5) -> Typical:
+    """From the training sample: the median, and a floor so many (robust) standard deviations and at least `least` below it, so that
+    texts that mix the languages or are tables of names stay, while those of other languages and scripts go, as they cost twice as much or more."""
+    rows = sample(labelled, text, lang, key, sample_docs)
+    found = [] if rows is None else predict(rows, model, [key], text, "p", "s", ("total", "letters")).where("letters > 0").select("total", "letters").collect()
+    if not found:
+        return Typical(0.0, -math.inf)
+    total, letters = np.array(found, dtype=np.float64).T
+    middle = float(np.median(total / letters))
+    drawn = (total + Typical.letters * middle) / (letters + Typical.letters)
+    spread = 1.4826 * float(np.median(np.abs(drawn - np.median(drawn))))
+    return Typical(middle, float(np.median(drawn)) - max(spreads * spread, least))
 
 
 def fold(key: Column) -> Column:

@@ -42,7 +42,7 @@ def test_unseen_script_does_not_underflow():
     each = model.word_logs([run])[0]
     assert np.isfinite(each).all() and np.allclose(each, (len(run) + 1) * np.log([1e-9, 1e-7]), rtol=0.05)
     got = L.Scorer(model).predict([run, f"{run} " + "the house of the man " * 40])
-    assert got[0][0] == "y" and got[1] == ("x", pytest.approx(1.0))
+    assert got[0][0] == "y" and got[1][:2] == ("x", pytest.approx(1.0))
 
 
 def test_undetermined(model):
@@ -50,7 +50,7 @@ def test_undetermined(model):
     got = s.predict([None, "", "123 !?", "²", "ok"])
     assert [g[0] for g in got[:4]] == ["und"] * 4 and got[4][0] in ("x", "y") and all(0 <= g[1] <= 1 for g in got)
     empty = L.LanguageModel([], [], np.zeros((len(L.vocabulary()) + 1, 0)))
-    assert L.Scorer(empty).predict(["hello"]) == [("und", 0.0)]
+    assert L.Scorer(empty).predict(["hello"]) == [("und", 0.0, 0.0, 0)]
 
 
 def test_cache_does_not_change_results(model, monkeypatch):
@@ -72,6 +72,22 @@ def test_held_out_accuracy(spark):
     assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in held) / len(held) >= 0.98
 
 
+def test_typical_texts(spark):
+    """Foreign texts of other scripts and random letters are below the floor, short and long texts of the learned languages are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = L.train(docs)
+    fits = L.typical(docs, model)
+    foreign = ["日本語の文章はここにあります。とても長いです。" * 5, "Это предложение написано на другом языке, и оно довольно длинное. " * 5, "xqzj wvkq zxxq jjqw vvkz qqxj " * 20]
+    fine = ["the", "is that", "la", "und der", "The house of the man is on the hill and that was all. " * 3]
+    rows = [(i, t) for i, t in enumerate([*foreign, *fine])]
+    found = L.predict(spark.createDataFrame(rows, "doc_id long, text string"), model, ["doc_id"], evidence=("total", "letters"))
+    kept = {r["doc_id"]: r["k"] for r in found.select("doc_id", fits.fits(found["total"], found["letters"]).alias("k")).collect()}
+    assert [kept[i] for i, _ in rows] == [False] * 3 + [True] * 5
+    every = L.predict(docs, model, ["doc_id"], evidence=("total", "letters"))
+    assert every.where(~fits.fits(every["total"], every["letters"])).count() <= docs.count() * 0.002
+    assert L.typical(docs.where("false"), model).floor == -np.inf
+
+
 def test_frames(spark):
     docs = spark.createDataFrame([(1, "the house of the man", "en", 0.5), (2, "la maison de la femme", "fr", 0.1), (3, None, None, None), (None, "the", None, 1.0), (1, "the house of the man", "en", 0.5)], "doc_id long, text string, lang string, score double")
     got = L.predict(docs, L.train(docs), ["doc_id"]).collect()
