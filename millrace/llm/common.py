@@ -76,6 +76,14 @@ def _remove() -> None:
             return
 
 
+def smallest(rows: DataFrame, key: str, most: int) -> DataFrame | None:
+    """The rows whose keys have the smallest hashes, one for a key and at most `most` in all; null keys are left out. None if there are none."""
+    hashed = F.xxhash64(F.col(f"`{key}`"))
+    known = rows.where(F.col(f"`{key}`").isNotNull())
+    end = known.select(hashed.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return None if end is None else known.where(hashed <= end).dropDuplicates([key])
+
+
 #: A key is hot if it has more than this share of a table's rows; so there are no more hot keys than this.
 MOST_HOT = 4096
 

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_rows, table
+from millrace.llm.common import map_rows, smallest, table
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)[^>]*>?|<[!?/][^>]*>?""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
@@ -270,10 +270,8 @@ def train(pages: DataFrame, page: str = "html", key: str = "page_id", sample_pag
 
     Features are rounded to a tenth and rows that are alike are counted in the executors, so that the driver gets few.
     """
-    hashed = F.xxhash64(F.col(f"`{key}`"))
-    rows = pages.where(F.col(f"`{page}`").rlike("(?i)<(article|main)[\\s>]"))
-    end = rows.select(hashed.alias("h")).orderBy("h").limit(sample_pages).agg(F.max("h")).first()[0]
-    if end is None:
+    rows = smallest(pages.where(F.col(f"`{page}`").rlike("(?i)<(article|main)[\\s>]")), key, sample_pages)
+    if rows is None:
         return learned([])
     names = [*PRIOR, "label"]
 
@@ -281,7 +279,7 @@ def train(pages: DataFrame, page: str = "html", key: str = "page_id", sample_pag
         counts = Counter(tuple(round(v, 1) for v in r) for p in batch[page] for r in labelled(p))
         return {c: [r[i] for r in counts] for i, c in enumerate(names)} | {"n": list(counts.values())}
 
-    found = map_rows(rows.where(hashed <= end), [page], ", ".join(f"`{c}` double" for c in names) + ", n long", lambda: work)
+    found = map_rows(rows, [page], ", ".join(f"`{c}` double" for c in names) + ", n long", lambda: work)
     return learned(sorted(tuple(r) for r in found.groupBy(*names).agg(F.sum("n").cast("double").alias("n")).collect()))
 
 

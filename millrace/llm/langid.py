@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_rows, table
+from millrace.llm.common import map_rows, smallest, table
 
 UNDETERMINED = "und"
 #: Runs of letters in texts of Latin characters only, and in all others.
@@ -153,11 +153,9 @@ class Scorer:
 
 
 def sample(labelled: DataFrame, text: str, lang: str, key: str, sample_docs: int) -> DataFrame | None:
-    """The labelled rows with the smallest hashes of key, about `sample_docs`; None if there are none."""
-    hashed = F.xxhash64(F.col(f"`{key}`"))
+    """The labelled rows with the smallest hashes of key, at most `sample_docs`: one row of a key. None if there are none."""
     rows = labelled.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    end = rows.select(hashed.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    return None if end is None else rows.where(hashed <= end)
+    return smallest(rows, key, sample_docs)
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 4000, smoothing: float = 0.5) -> LanguageModel:

@@ -393,3 +393,20 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles, component and whether it is kept of every row of documents: 3 words, similarity 0.85."""
     found = near_duplicates(table(spark, sf_dir, "documents"), NearSettings(words=3, percent=85))
     return found.withColumnRenamed("id", "doc_id")
+
+
+#: Every link of all pairs of documents that share a shingle. Ids are unique.
+OP3_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN list_aggregate(w, 'string_agg', ' ') ELSE list_aggregate(w[i : i + 2], 'string_agg', ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM texts WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY ALL),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+reach AS (SELECT a AS doc_id, a AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+smallest AS (SELECT doc_id, min(other) AS c FROM reach GROUP BY ALL)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least(c, d.doc_id), d.doc_id) AS component_id, coalesce(c, d.doc_id) >= d.doc_id AS kept
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN smallest ON smallest.doc_id = d.doc_id
+"""

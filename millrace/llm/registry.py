@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_near_duplicates": minhash.OP3_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
 }

@@ -26,7 +26,7 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_rows, table
+from millrace.llm.common import map_rows, smallest, table
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -196,11 +196,10 @@ def built_in() -> MarkovScorer:
 def train(documents: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = 2000) -> MarkovScorer:
     """Models from the built-in samples and from at most `sample_docs` documents (those with the
     smallest hashes of `key`); only counts of character triples come to the driver."""
-    hashed = F.xxhash64(F.col(f"`{key}`"))
-    ends = [r[0] for r in documents.select(hashed.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).collect()]
-    if ends[0] is None:
+    rows = smallest(documents, key, sample_docs)
+    if rows is None:
         return built_in()
-    counts = map_rows(documents.where(hashed <= ends[0]), [text], "ordinary boolean, gram string, n long", lambda: _counted(text))
+    counts = map_rows(rows, [text], "ordinary boolean, gram string, n long", lambda: _counted(text))
     sums: tuple[Counter, Counter] = (MarkovScorer.count(random_samples()), MarkovScorer.count(ordinary_samples()))
     for row in counts.groupBy("ordinary", "gram").agg(F.sum("n").alias("n")).collect():
         sums[row["ordinary"]][row["gram"]] += row["n"]

@@ -100,6 +100,16 @@ def test_spread_join(spark):
         assert rows(spread_join(left, right, "k", "v", counts, 3000, how, least=100)) == rows(left.join(right, "k", how))
 
 
+def test_query_against_sql(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = c.execute(M.OP3_SQL).fetchall()
+    got = M.op3_near_duplicates(spark, sf).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_words_are_ascii():
     same = lambda a, b: M.shingles(a, 3).tolist() == M.shingles(b, 3).tolist()
     assert same("A B C D", "a\x0bb\x0cc\rd") and not same("É b c d", "é b c d") and not same("a\xa0b c d", "a b c d")
