@@ -13,6 +13,9 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.cli import TABLE, bench
+from millrace.errors import CompactionError
+from millrace.fixtures import MockTable, mock_table
 from millrace.functions import sizing
 from millrace.functions.transforms import PartitionField
 from millrace.model import FILE_TASK, PATH, POSITION, SEQUENCE, DataFile, RewriteStats
@@ -20,8 +23,8 @@ from millrace.operators.merge_on_read import EqualityDeletes, MergeOnRead
 from millrace.operators.rewrite import sort_columns
 from millrace.operators.validate import written_inputs
 from millrace.metrics import MemoryRegistry
-from millrace.orchestrate import AutoCompaction, Compaction, merge_stats, removed_files
-from millrace.plans.auto import auto_plan, stats_frame
+from millrace.orchestrate import AutoCompaction, CommitManager, CommitParams, Compaction, merge_stats, removed_files
+from millrace.plans.auto import auto_plan, plans_of, stats_frame
 from millrace.plans.config import AutoCompactionConfig, BinPackConfig, CompactionConfig, ExecutionConfig, FileGroupScope, FilesWithDeletesConfig, FullCompactionConfig, GroupFilters, Grouping, Single, SmallFilesConfig
 from millrace.plans.filters import DeleteFileCountFilter, SizeFilter
 from millrace.plans.strategy import PlanStrategy, delete_files, group_of, strategy_of
@@ -418,6 +421,26 @@ def auto_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(report.selected_strategy.value, report.reason.value)], "strategy string, reason string")
 
 
+@exhibit(_groups_sql("group_id, input_files_count AS files, data_file_count AS rows_of_plan, total_size AS bytes_of_plan", "length < 10000000"))
+def plans_and_their_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Each plan with the number of its files, and what its own rows are: plans without files are not there."""
+    plans = plans_of(*strategy_of(_small()).execute(manifest(spark, sf)), "main", 1)
+    rows = []
+    for p in plans:
+        own = p.files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("b")).first()
+        rows.append((p.group.group_id, p.file_count(), own["n"], own["b"]))
+    return spark.createDataFrame(rows, "group_id string, files long, rows_of_plan long, bytes_of_plan long")
+
+
+@exhibit(
+    "SELECT * FROM (VALUES ('full', 'NoFileFilters -> SingleGrouping -> NoGroupFilters'), ('table', 'NoFileFilters -> Table -> SingleGrouping -> NoGroupFilters'), "
+    "('packed', 'NoFileFilters -> BinPackGrouping[target=1907MB] -> NoGroupFilters')) AS t(name, description)"
+)
+def descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    configs = {"full": _full(), "table": _full(scope=FileGroupScope.TABLE), "packed": _full(BinPackConfig(PACK))}
+    return spark.createDataFrame([(n, str(strategy_of(c))) for n, c in configs.items()], "name string, description string")
+
+
 # statistics, lookups, properties
 
 
@@ -547,6 +570,69 @@ def e2e_memory_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.load_table("t").read()
 
 
+@exhibit("SELECT c_nationkey, count(*) AS rows_, 1::BIGINT AS files FROM customer GROUP BY ALL")
+def e2e_many_plans(spark: SparkSession, sf: str) -> DataFrame:
+    """A plan for each partition, some at a time, in one commit: afterwards each partition has one file with all its rows."""
+    catalog, df = Catalog(spark, scratch(spark)), read(spark, sf, "customer")
+    table = catalog.create_table("t", df.schema, partition_fields=[PartitionField("c_nationkey")])
+    for i in range(2):
+        table = table.append(df.where(F.col("c_custkey") % 2 == i))
+    table = Compaction(catalog, "t", CompactionConfig(execution=ExecutionConfig(max_concurrent_compaction_plans=8))).compact().table
+    key = F.regexp_extract("partition_key", "=(.*)", 1).cast(df.schema["c_nationkey"].dataType).alias("c_nationkey")
+    return table.entries(table.metadata.refs["main"]).groupBy(key).agg(F.sum("record_count").alias("rows_"), F.count(F.lit(1)).alias("files"))
+
+
+@exhibit("SELECT count(*) AS rows_, true AS bounded, true AS several FROM lineitem")
+def e2e_rolling(spark: SparkSession, sf: str) -> DataFrame:
+    """One writer rolls to a new file at the target size."""
+    catalog, df = Catalog(spark, scratch(spark)), read(spark, sf, "lineitem")
+    table = catalog.create_table("t", df.schema)
+    for i in range(2):
+        table = table.append(df.where(F.col("l_orderkey") % 2 == i).coalesce(1))
+    size = sum(r[0] for r in table.entries(table.metadata.refs["main"]).select("file_size_in_bytes").collect())
+    out = Compaction(catalog, "t", CompactionConfig(SmallFilesConfig(max_output_parallelism=1), ExecutionConfig(target_file_size_bytes=size // 3 + 1))).compact()
+    most, several = max(f.file_size_in_bytes for f in out.output_files) <= size // 3 * 1.5, 3 <= len(out.output_files) <= 4
+    return out.table.read().agg(F.count(F.lit(1)).alias("rows_"), F.lit(most).alias("bounded"), F.lit(several).alias("several"))
+
+
+@exhibit(
+    "SELECT * FROM (VALUES ('branch', 'Execution failed: Compaction plan branch ' || chr(39) || 'x' || chr(39) || ' does not match configured branch ' || chr(39) || 'main' || chr(39)), ('config', 'Execution failed: CompactionConfig is required'), "
+    "('gone', 'Table error: 3 of 3 rewritten files are no longer in the table'), ('none', 'Execution failed: No rewrite results to commit'), ('slept', '[1.0, 2.0]'), ('snapshot', 'Execution failed: Snapshot 5 not found')) AS t(step, message)"
+)
+def e2e_errors_of_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """What each step refuses, and how long a commit that comes second waits before it tries again."""
+    catalog, _ = _customers(spark, sf)
+    c, bare = Compaction(catalog, "t", CompactionConfig()), Compaction(catalog, "t")
+    table = c.load_table()
+    plan = c.plan_compaction()[0]
+    results, found = [c.rewrite_plan(plan, ExecutionConfig(), table)], []
+    stale, slept = [table, table, None], []
+    catalog.load_table("t").create_branch("other")  # so the loaded version is not the newest
+    head = table.metadata.snapshot_for("main")
+    CommitManager(lambda: stale.pop(0) or catalog.load_table("t"), CommitParams(head.snapshot_id, head.schema_id), sleep=slept.append).rewrite_files_from_results(results, "main")
+    refused = {
+        "config": bare.compact, "branch": lambda: c.rewrite_plan(replace(plan, to_branch="x"), ExecutionConfig(), table), "snapshot": lambda: c.rewrite_plan(replace(plan, snapshot_id=5), ExecutionConfig(), table),
+        "none": lambda: c.commit_rewrite_results([]), "gone": lambda: c.commit_rewrite_results(results),
+    }
+    for step, run in refused.items():
+        try:
+            run()
+        except CompactionError as e:
+            found.append((step, str(e)))
+    return spark.createDataFrame([*found, ("slept", str(slept))], "step string, message string")
+
+
+@exhibit("SELECT 2::BIGINT AS data_files, 1::BIGINT AS output_files, 1960::BIGINT AS rows_")
+def mock_table_bench(spark: SparkSession, sf: str) -> DataFrame:
+    """The made-up table of the command line, compacted: two files, a file of position deletes for each."""
+    catalog, spec = Catalog(spark, scratch(spark)), MockTable(files=2, rows_per_file=1000, equality_deletes_per_file=0, position_deletes_per_file=20)
+    table = mock_table(catalog, TABLE, spec)
+    deletes = by_content(table.entries(table.metadata.refs["main"]))[1].count()
+    out = bench(catalog)
+    rows = catalog.load_table(TABLE).read().count()
+    return spark.createDataFrame([(out["input_files"] - deletes, out["output_files"], rows)], "data_files long, output_files long, rows_ long")
+
+
 @exhibit(
     "SELECT * FROM (VALUES ('compaction_commit_counter', 1.0::DOUBLE), ('compaction_input_files_count', 5.0), ('compaction_output_files_count', 1.0), ('compaction_engine_batch_row_count_dist', 1.0), ('compaction_engine_batch_bytes_dist', 1.0), "
     "('compaction_engine_batch_write_duration', 1.0), ('compaction_plan_file_count', 1.0)) AS t(name, value) UNION ALL "
