@@ -66,6 +66,19 @@ def prefixes() -> dict[str, int]:
     return out | vocabulary()
 
 
+@functools.cache
+def trie() -> dict:
+    """The pieces by character: (the piece's number, or -1 if it is only a prefix; what may follow)."""
+    def below(upto: int, some: list[str]) -> dict:
+        by: dict[str, list[str]] = {}
+        for p in some:
+            if len(p) > upto:
+                by.setdefault(p[upto], []).append(p)
+        return {c: (prefixes()[ps[0][: upto + 1]], below(upto + 1, ps)) for c, ps in by.items()}
+
+    return below(0, list(vocabulary()))
+
+
 class LanguageModel:
     """langs, log priors, and a probability for each piece and language; the last row is for a character unseen."""
 
@@ -79,23 +92,31 @@ class LanguageModel:
         probability is added to what reaches its end. Every RESCALED positions what reaches them is set to 1 and its logarithm
         kept, as the product over a part of unseen characters would be 0.
         """
-        known, unseen, steps = prefixes().get, len(self.probability) - 1, array("q")
-        for w, part in enumerate(texts):
-            n = len(part)
-            for i in range(n):
-                for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1):
-                    p = known(part[i:j])
-                    if p is None:
-                        if j == i + 1:
-                            steps.append(((i << 6 | j) << 17 | w) << 16 | unseen)
+        root, unseen, spans, pieces, sizes = trie(), len(self.probability) - 1, array("q"), array("q"), []
+        for part in texts:
+            before = len(spans)
+            for i in range(len(part)):
+                node, j = root, i
+                for c in part[i : i + LONGEST_PIECE]:
+                    hit = node.get(c)
+                    if hit is None:
                         break
+                    j += 1
+                    p, node = hit
                     if p >= 0:
-                        steps.append(((i << 6 | j) << 17 | w) << 16 | p)
+                        spans.append(i << 6 | j)
+                        pieces.append(p)
                     elif j == i + 1:  # any single character can be read
-                        steps.append(((i << 6 | j) << 17 | w) << 16 | unseen)
+                        spans.append(i << 6 | j)
+                        pieces.append(unseen)
+                if j == i:
+                    spans.append(i << 6 | i + 1)
+                    pieces.append(unseen)
+            sizes.append(len(spans) - before)
+        steps = np.frombuffer(spans, dtype=np.int64) << 33 | np.repeat(np.arange(len(texts)), sizes) << 16 | np.frombuffer(pieces, dtype=np.int64) if spans else np.zeros(0, dtype=np.int64)
         ways = np.zeros((LONGEST_WORD + 1, len(texts), len(self.langs)))
         ways[0] = 1.0
-        order = np.sort(np.frombuffer(steps, dtype=np.int64)) if steps else np.zeros(0, dtype=np.int64)
+        order = np.sort(steps)
         places = order >> 33
         cuts = np.flatnonzero(np.diff(places, prepend=-1, append=-1))
         lengths, scale, scaled = np.array([len(t) for t in texts], dtype=np.int64), np.zeros((len(texts), len(self.langs))), 0
@@ -133,7 +154,9 @@ class Scorer:
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
         split = [words_of(t) if t else [] for t in texts]
-        new = list({w for words in split for w in words if w not in self.kept})
+        found = [list(map(self.kept.get, words)) for words in split]
+        gaps = [(at, [i for i, x in enumerate(at) if x is None], words) for at, words in zip(found, split, strict=True) if None in at]
+        new = list(dict.fromkeys(words[i] for _, missing, words in gaps for i in missing))
         if new and self.model.langs:
             at = len(self.kept)
             if (grown := at + len(new)) > len(self.rows):
@@ -141,12 +164,15 @@ class Scorer:
             self.rows[at:grown, :-1] = self.model.word_logs(new)
             self.rows[at:grown, -1] = list(map(len, new))
             self.kept.update(zip(new, range(at, grown), strict=True))
-        return list(map(self._best, split))
+            for places, missing, words in gaps:
+                for i in missing:
+                    places[i] = self.kept[words[i]]
+        return list(map(self._best, split, found))
 
-    def _best(self, words: list[str]) -> tuple[str, float, float, int]:
+    def _best(self, words: list[str], places: list[int]) -> tuple[str, float, float, int]:
         if not self.model.langs or not any(c.isalpha() for w in words for c in w):
             return UNDETERMINED, 0.0, 0.0, 0
-        sums = self.rows[list(map(self.kept.__getitem__, words))].sum(axis=0)
+        sums = self.rows[places].sum(axis=0)
         total = sums[:-1] + self.model.prior
         best = int(total.argmax())
         return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum()), float(sums[best]), int(sums[-1])
