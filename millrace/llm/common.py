@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -108,20 +111,44 @@ def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], by: str
     return dealt.join(each, [*keys, "spread"], how).drop("spread")
 
 
-def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
+_HELD: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What make() gives, kept for the next tasks of this Python process; only one name's at a time."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def tidy(keep: str | None = None) -> None:
+    """Gives memory of a Python worker back to the system: workers live on after a task, next to an executor's heap."""
+    for name in [n for n in _HELD if n != keep]:
+        del _HELD[name]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[dict], dict]], keep: str | None = None) -> DataFrame:
     """Arrow in, Arrow out: make() runs once in each Python worker task and gives the
     function from a dict of column lists to a dict of column lists of the result.
 
-    Only `columns` reach Python, so other columns, whatever their names, do no harm.
+    Only `columns` reach Python, so other columns, whatever their names, do no harm. keep: what make() holds for other tasks.
     """
     out_schema = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(keep)
         work = make()
         for batch in batches:
             if batch.num_rows:
                 got = work({name: batch.column(i).to_pylist() for i, name in enumerate(columns)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out_schema], schema=out_schema)
+        del work
+        tidy(keep)
 
     bounded_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)

@@ -34,7 +34,7 @@ UNDETERMINED = "und"
 LATIN = re.compile(r"[^\x00-ɏ‐-‧€]")
 LATIN_WORD, WORD = re.compile("[a-zªµºà-öø-ɏ]+"), re.compile(r"[^\W\d_]+")
 LONGEST_WORD, LONGEST_PIECE, RESCALED = 48, 16, 8
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
 
 
 @functools.cache

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, cut, release, spread_join, table
+from millrace.llm.common import bounded_batches, cut, release, spread_join, table, tidy
 
 HASHES, BANDS, BITS = 128, 32, 2
 ROWS = HASHES // BANDS
@@ -111,6 +111,7 @@ def features(documents: DataFrame, words: int, key: str = "doc_id", text: str =
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_id", pa.binary()), ("bands", longs), ("signature", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             least = [minima(s) for s in sets]
@@ -122,6 +123,7 @@ def features(documents: DataFrame, words: int, key: str = "doc_id", text: str =
                 [signature(m) if len(s) else None for m, s in zip(least, sets, strict=True)],
             ]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        tidy()
 
     bounded_batches(documents.sparkSession)
     found = documents.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, "id long, n long, set_id binary, bands array<long>, signature array<long>")
@@ -137,10 +139,12 @@ def full_sets(texts: DataFrame, words: int) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(0).to_pylist()]
             same = [i for i, (s, d) in enumerate(zip(sets, batch.column(2).to_pylist(), strict=True)) if set_digest(s) == d]
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(same, type=pa.int64())), pa.array([sets[i].view(np.int64) for i in same], type=schema.field(1).type)], schema=schema)
+        tidy()
 
     bounded_batches(texts.sparkSession)
     return texts.select("text", "node", "set_id").mapInArrow(run, "node long, shingles array<long>")

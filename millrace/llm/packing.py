@@ -14,7 +14,6 @@ bounded by its expected number of pieces whatever the corpus' size; no group dep
 
 from __future__ import annotations
 
-import functools
 import math
 import os
 import re
@@ -29,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import byte_names, vocabulary
-from millrace.llm.common import bounded_batches, cut, map_rows, table
+from millrace.llm.common import bounded_batches, cut, held, map_rows, table
 
 CAPACITY, CLOSING = 4096, 1
 PIECES_IN_BLOCK = 4096
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 400_000
 
 #: Texts of these characters are split here as the tokenizer splits them; all others go to the library whole.
 PLAIN = re.compile(r"[^\t\n\r -~\xa0-įĲ-ſ‐-‧€]")
@@ -125,10 +124,9 @@ class Encoder:
         return out
 
 
-@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One encoder in each Python process, so what it knows serves all of the process' tasks."""
-    return Encoder(path)
+    return held(path, lambda: Encoder(path))
 
 
 def pieces(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -151,7 +149,7 @@ def pieces(documents: DataFrame, path: str, key: str = "doc_id", text: str = "te
 
         return work
 
-    return map_rows(documents, [key, text], f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long", make)
+    return map_rows(documents, [key, text], f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long", make, keep=path)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
