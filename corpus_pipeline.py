@@ -15,11 +15,12 @@ from millrace.llm.bpe import vocabulary
 from millrace.llm.common import cut, map_rows, table
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that docs' own labels teach: those without letters go, and those that are far less likely in
-    their best language than labelled documents are in theirs (`langid.typical`), as texts of other languages and scripts."""
-    model = langid.train(docs)
-    fits = langid.typical(docs, model)
+    """Documents of a language that docs' own labels teach, all of them: those without letters go, and those that are far less likely in
+    their best language than labelled documents are in theirs (`langid.typical_of`), as texts of other languages and scripts."""
+    model = langid.train(docs, sample_docs=None)
     found = langid.predict(docs, model, docs.columns, pred="stage_lang_pred", score="stage_lang_score", evidence=("stage_lang_total", "stage_lang_letters"))
+    found = cut(found, "evidence")  # texts are scored once, for what is typical and for what is kept
+    fits = langid.typical_of(langid.known(found), "stage_lang_total", "stage_lang_letters")
     kept = fits.fits(F.col("stage_lang_total"), F.col("stage_lang_letters"))
     return found.where((F.col("stage_lang_pred") != langid.UNDETERMINED) & kept).select(*docs.columns)
 
@@ -32,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark and n_chars to match; others are as they were."""
-    scorer = secrets.train(docs)
+    scorer = secrets.train(docs, sample_docs=None)
     kinds = dict(docs.dtypes)
 
     def make():

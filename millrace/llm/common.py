@@ -12,7 +12,7 @@ from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources.shared import shared_folder
@@ -154,6 +154,57 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 
+def sum_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], tuple[Callable[[dict], bool], Callable[[], dict]]]) -> DataFrame:
+    """Like map_rows, for sums over many batches: make() gives (add, rest). add takes a batch and tells whether it holds
+    so much that it must be handed out; rest gives what is held, as columns of the result, and forgets it."""
+    out_schema = arrow_schema(df.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        add, rest = make()
+        handed = lambda got: pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out_schema], schema=out_schema)
+        for batch in batches:
+            if batch.num_rows and add({name: batch.column(i).to_pylist() for i, name in enumerate(columns)}):
+                yield handed(rest())
+        yield handed(rest())
+        del add, rest
+        tidy()
+
+    bounded_batches(df.sparkSession)
+    return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+
+
+#: Of the values of a column, so many counts come to the driver at once.
+BINS = 4096
+
+
+def median(rows: DataFrame, value: Column) -> float | None:
+    """The exact median of finite numbers, as numpy has it. None if there are none.
+
+    Values are counted in equal bins between the least and the greatest; the bin of the middle is then counted in the same way, until it
+    holds one value or the two in the middle are in different ones. So a pass brings BINS counts to the driver, however many rows there are.
+    """
+    values = rows.select(value.cast("double").alias("v"))
+    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    first, second = (n - 1) // 2, n // 2  # places among the values from low to high
+    while low < high:
+        place = F.least(F.floor((F.col("v") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        bins = values.where(F.col("v").between(low, high)).groupBy(place.alias("bin")).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        before = 0
+        for b in sorted(bins, key=lambda b: b["low"]):
+            if before <= first < before + b["n"]:
+                middle, skipped = b, before
+            if second < before + b["n"]:
+                if b is not middle:
+                    return (middle["high"] + b["low"]) / 2
+                break
+            before += b["n"]
+        low, high, first, second = middle["low"], middle["high"], first - skipped, second - skipped
+    return low
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     """The Arrow schema of a DDL string."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -7,8 +7,8 @@ the sum of the logarithms over its words, plus the language's prior; a softmax o
 the score of the answer.
 
 The piece probabilities come from the training rows: how often each piece occurs in their words,
-smoothed. They are counted over a bounded sample (`sample_docs`, those with the smallest hashes), in
-the executors; the driver gets one count for a language and piece, 32,000 pieces at most.
+smoothed. They are counted in the executors, over all of them or a bounded sample (`sample_docs`, those with
+the smallest hashes); the driver gets one count for a language and piece, 32,000 pieces at most.
 
 Defined results: null text and text without letters: `und` with score 0. Repeated rows give repeated
 results; texts are scored whole, words of over 48 letters in parts. With no training rows everything is `und`.
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_rows, smallest, table
+from millrace.llm.common import cut, map_rows, median, smallest, sum_rows, table
 
 UNDETERMINED = "und"
 #: Runs of letters in texts of Latin characters only, and in all others.
@@ -35,6 +35,8 @@ LATIN = re.compile(r"[^\x00-ɏ‐-‧€]")
 LATIN_WORD, WORD = re.compile("[a-zªµºà-öø-ɏ]+"), re.compile(r"[^\W\d_]+")
 LONGEST_WORD, LONGEST_PIECE, RESCALED = 48, 16, 8
 KEPT_WORDS = 400_000
+#: So many words, of so many characters of text, are counted before their pieces are.
+HELD_WORDS, HELD_CHARS = 200_000, 64 << 20
 
 
 @functools.cache
@@ -178,41 +180,19 @@ class Scorer:
         return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum()), float(sums[best]), int(sums[-1])
 
 
-def sample(labelled: DataFrame, text: str, lang: str, key: str, sample_docs: int) -> DataFrame | None:
-    """The labelled rows with the smallest hashes of key, at most `sample_docs`: one row of a key. None if there are none."""
-    rows = labelled.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    return smallest(rows, key, sample_docs)
+def known(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows that have a text and a language."""
+    return labelled.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 4000, smoothing: float = 0.5) -> LanguageModel:
-    """A model from at most `sample_docs` rows (those with the smallest hashes of key and text's length)."""
-    rows = sample(labelled, text, lang, key, sample_docs)
-    if rows is None:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int | None = 4000, smoothing: float = 0.5) -> LanguageModel:
+    """A model from at most `sample_docs` rows (those with the smallest hashes of key, one row of a key), or from all if that is None."""
+    rows = known(labelled, text, lang)
+    if sample_docs is not None:
+        rows = smallest(rows, key, sample_docs)
+    found = [] if rows is None else sum_rows(rows, [text, lang], "lang string, piece int, n long", lambda: _pieces(text, lang)).groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
+    if not found:
         return LanguageModel([], [], np.zeros((len(vocabulary()) + 1, 0)))
-
-    def make():
-        known = prefixes().get
-
-        def work(batch: dict) -> dict:
-            sums: dict[str, Counter] = {}
-            for t, name in zip(batch[text], batch[lang], strict=True):
-                c = sums.setdefault(name, Counter())
-                c[-1] += 1  # the documents
-                for w, n in Counter(words_of(t)).items():
-                    for part in parts(w):
-                        for i in range(len(part)):
-                            for j in range(i + 1, min(len(part), i + LONGEST_PIECE) + 1):
-                                if (p := known(part[i:j])) is None:
-                                    break
-                                if p >= 0:
-                                    c[p] += n
-            flat = [(name, p, n) for name, c in sums.items() for p, n in c.items()]
-            return {"lang": [x[0] for x in flat], "piece": [x[1] for x in flat], "n": [x[2] for x in flat]}
-
-        return work
-
-    counts = map_rows(rows, [text, lang], "lang string, piece int, n long", make)
-    found = counts.groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in found})
     column = {name: i for i, name in enumerate(langs)}
     table_, docs = np.zeros((len(vocabulary()), len(langs))), [0] * len(langs)
@@ -225,6 +205,40 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return LanguageModel(langs, [math.log(d / sum(docs)) for d in docs], np.vstack([(table_ + smoothing) / sizes, smoothing / sizes]))
 
 
+def _pieces(text: str, lang: str):
+    """To sum by language: how often each piece occurs in the words of texts, and the texts as piece -1."""
+    piece, held, texts, read = prefixes().get, {}, Counter(), 0  # held: how often a language has each word
+
+    def add(batch: dict) -> bool:
+        nonlocal read
+        for t, name in zip(batch[text], batch[lang], strict=True):
+            held.setdefault(name, Counter()).update(words_of(t))
+            texts[name] += 1
+            read += len(t)
+        return sum(map(len, held.values())) > HELD_WORDS or read > HELD_CHARS
+
+    def rest() -> dict:
+        nonlocal read
+        sums: dict[str, Counter] = {name: Counter({-1: n}) for name, n in texts.items()}
+        for name, words in held.items():
+            c = sums[name]
+            for w, n in words.items():
+                for part in parts(w):
+                    for i in range(len(part)):
+                        for j in range(i + 1, min(len(part), i + LONGEST_PIECE) + 1):
+                            if (p := piece(part[i:j])) is None:
+                                break
+                            if p >= 0:
+                                c[p] += n
+        held.clear()
+        texts.clear()
+        read = 0
+        flat = [(name, p, n) for name, c in sums.items() for p, n in c.items()]
+        return {"lang": [x[0] for x in flat], "piece": [x[1] for x in flat], "n": [x[2] for x in flat]}
+
+    return add, rest
+
+
 def predict(documents: DataFrame, model: LanguageModel, columns: list[str], text: str = "text", pred: str = "lang_pred", score: str = "score", evidence: tuple[str, str] | None = None) -> DataFrame:
     """`columns` of documents, and the prediction and its score under names that are not among them.
 
@@ -257,18 +271,25 @@ class Typical:
         return (total + self.letters * self.middle) / (letters + self.letters) >= self.floor
 
 
-def typical(labelled: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 4000, spreads: float = 10.0, least: float = 1.5) -> Typical:
-    """From the training sample: the median, and a floor so many (robust) standard deviations and at least `least` below it, so that
-    texts that mix the languages or are tables of names stay, while those of other languages and scripts go, as they cost twice as much or more."""
-    rows = sample(labelled, text, lang, key, sample_docs)
-    found = [] if rows is None else predict(rows, model, [key], text, "p", "s", ("total", "letters")).where("letters > 0").select("total", "letters").collect()
-    if not found:
+def typical(labelled: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang") -> Typical:
+    """`typical_of` all labelled rows, which are scored for it; only their evidence is written."""
+    found = predict(known(labelled, text, lang).select(F.col(f"`{text}`").alias("text")), model, ["text"], evidence=("total", "letters"))
+    return typical_of(cut(found.select("total", "letters"), "evidence"), "total", "letters")
+
+
+def typical_of(found: DataFrame, total: str, letters: str, spreads: float = 10.0, least: float = 1.5) -> Typical:
+    """From the evidence of all labelled rows: the median, and a floor so many (robust) standard deviations and at least `least` below it, so that
+    texts that mix the languages or are tables of names stay, while those of other languages and scripts go, as they cost twice as much or more.
+
+    found is read several times: the medians are exact, whatever the number of rows, and no row comes to the driver."""
+    rows = found.where(F.col(letters) > 0)
+    middle = median(rows, F.col(total) / F.col(letters))
+    if middle is None:
         return Typical(0.0, -math.inf)
-    total, letters = np.array(found, dtype=np.float64).T
-    middle = float(np.median(total / letters))
-    drawn = (total + Typical.letters * middle) / (letters + Typical.letters)
-    spread = 1.4826 * float(np.median(np.abs(drawn - np.median(drawn))))
-    return Typical(middle, float(np.median(drawn)) - max(spreads * spread, least))
+    drawn = (F.col(total) + Typical.letters * middle) / (F.col(letters) + Typical.letters)
+    usual = median(rows, drawn)
+    spread = 1.4826 * median(rows, F.abs(drawn - usual))
+    return Typical(middle, usual - max(spreads * spread, least))
 
 
 def fold(key: Column) -> Column:

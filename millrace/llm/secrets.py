@@ -21,12 +21,13 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterable
+from itertools import accumulate
 from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_rows, smallest, table
+from millrace.llm.common import map_rows, smallest, sum_rows, table
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -35,6 +36,12 @@ HEX = re.compile(r"[0-9a-f]+")
 PIECE = re.compile(r"[A-Za-z0-9]+")
 WORD = re.compile(r"[A-Za-z][A-Za-z_-]{3,}")
 MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_RUN = 6, 20, 24, 20
+#: So many words and values, of so many characters of text, are counted before their triples are.
+HELD_WORDS, HELD_CHARS = 200_000, 64 << 20
+#: A corpus weighs as much as so many of its documents do, however many it has: else what the built-in samples teach would be lost in a large one.
+WEIGHT_DOCS = 2000
+#: Where their number stands among the counts of triples.
+DOCUMENTS = (True, "")
 
 #: One byte for each code point: whether it belongs to a run.
 _HEX_BYTES = bytes(104 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
@@ -193,34 +200,60 @@ def built_in() -> MarkovScorer:
     return calibrated(MarkovScorer.count(random_samples()), MarkovScorer.count(ordinary_samples()))
 
 
-def train(documents: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = 2000) -> MarkovScorer:
-    """Models from the built-in samples and from at most `sample_docs` documents (those with the
-    smallest hashes of `key`); only counts of character triples come to the driver."""
-    rows = smallest(documents, key, sample_docs)
+def train(documents: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int | None = 2000) -> MarkovScorer:
+    """Models from the built-in samples and from at most `sample_docs` documents (those with the smallest hashes
+    of `key`), or from all if that is None; only counts of character triples come to the driver. Over WEIGHT_DOCS
+    documents every one counts for less, by the same factor."""
+    rows = documents if sample_docs is None else smallest(documents, key, sample_docs)
     if rows is None:
         return built_in()
-    counts = map_rows(rows, [text], "ordinary boolean, gram string, n long", lambda: _counted(text))
+    counts = sum_rows(rows, [text], "ordinary boolean, gram string, n long", lambda: _counted(text))
     sums: tuple[Counter, Counter] = (MarkovScorer.count(random_samples()), MarkovScorer.count(ordinary_samples()))
-    for row in counts.groupBy("ordinary", "gram").agg(F.sum("n").alias("n")).collect():
-        sums[row["ordinary"]][row["gram"]] += row["n"]
+    found = {(row["ordinary"], row["gram"]): row["n"] for row in counts.groupBy("ordinary", "gram").agg(F.sum("n").alias("n")).collect()}
+    weight = min(1.0, WEIGHT_DOCS / max(1, found.pop(DOCUMENTS, 0)))
+    for (ordinary, gram), n in sorted(found.items()):
+        sums[ordinary][gram] += n * weight
     return calibrated(*sums)
 
 
 def _counted(text: str):
-    def work(batch: dict) -> dict:
-        sums = (Counter(), Counter())
-        for t in batch[text]:
-            t = t or ""
+    values, words, documents, read = Counter(), Counter(), 0, 0
+
+    def add(batch: dict) -> bool:
+        nonlocal documents, read
+        documents += len(batch[text])
+        for t in filter(None, batch[text]):
             spans = base_spans(t)
-            for a, b, _ in spans:
-                sums[0].update(MarkovScorer.grams(t[a:b].rpartition("=")[2].rpartition(":")[2].strip(" \"'")))
-            for m in WORD.finditer(t):
-                if not any(s < m.end() and m.start() < e for s, e, _ in spans):
-                    sums[1].update(MarkovScorer.grams(m[0]))
-        rows = [(bool(i), g, n) for i, c in enumerate(sums) for g, n in c.items()]
-        return dict(zip(("ordinary", "gram", "n"), map(list, zip(*rows, strict=True)), strict=True)) if rows else {"ordinary": [], "gram": [], "n": []}
-
-    return work
+            values.update(t[a:b].rpartition("=")[2].rpartition(":")[2].strip(" \"'") for a, b, _ in spans)
+            words.update(_words_beside(t, spans) if spans else WORD.findall(t))
+            read += len(t)
+        return len(values) + len(words) > HELD_WORDS or read > HELD_CHARS
+
+    def rest() -> dict:
+        nonlocal documents, read
+        rows = [(*DOCUMENTS, documents)]
+        for ordinary, some in ((False, values), (True, words)):
+            sums: Counter = Counter()
+            for w, n in some.items():
+                for gram in MarkovScorer.grams(w):
+                    sums[gram] += n
+            rows += [(ordinary, gram, n) for gram, n in sums.items()]
+            some.clear()
+        documents = read = 0
+        return {name: [r[i] for r in rows] for i, name in enumerate(("ordinary", "gram", "n"))}
+
+    return add, rest
+
+
+def _words_beside(text: str, spans: list[Span]) -> Iterable[str]:
+    """The words that no span touches; one pass over both."""
+    taken, at = sorted((a, b) for a, b, _ in spans), 0
+    reach = list(accumulate((b for _, b in taken), max))  # spans of different kinds may overlap
+    for m in WORD.finditer(text):
+        while at < len(taken) and reach[at] <= m.start():
+            at += 1
+        if at == len(taken) or taken[at][0] >= m.end():
+            yield m[0]
 
 
 def find_secrets(text: str | None, scorer: MarkovScorer) -> tuple[list[Span], list[Span]]:

@@ -106,3 +106,10 @@ def test_many_keys_in_one_text(scorer):
     text = "".join(f"token={i:08d}abcdefgh " + "x" * 20 + f" {i:040x} " for i in range(20_000))
     base, spans = S.find_secrets(text, scorer)
     assert len(base) == 40_000 and len(spans) >= len(base)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*PARTS, "word", "house-hold", " and "]), max_size=20).map("".join))
+def test_words_that_no_span_touches(text):
+    spans = S.base_spans(text)
+    assert list(S._words_beside(text, spans)) == [m[0] for m in S.WORD.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
