@@ -44,6 +44,9 @@ from millrace.llm.common import bounded_batches, cut, release, spread_join, tabl
 HASHES, BANDS, BITS = 128, 32, 2
 ROWS = HASHES // BANDS
 
+#: So many edges are joined to components in one task (two numbers each, and a row of a dictionary for each node).
+EDGES_IN_TASK = 250_000
+
 
 @dataclass(frozen=True)
 class NearSettings:
@@ -168,8 +171,9 @@ def estimate(a: str, b: str) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of its component for every node of an edge (a, b) but the smallest itself.
 
-    Alternates large-star and small-star steps until nothing changes: each node's larger neighbours are linked to its
-    smallest, then each node's smaller neighbours and itself. Rounds grow with the logarithm of the longest path.
+    At most EDGES_IN_TASK edges are joined in one task. More of them alternate large-star and small-star steps until nothing
+    changes or so few are left: each node's larger neighbours are linked to its smallest, then each node's smaller neighbours and
+    itself. Rounds grow with the logarithm of the longest path; each is some eleven shuffles, however few edges there are.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
@@ -177,6 +181,10 @@ def components(edges: DataFrame) -> DataFrame:
         check = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (check["n"], check["h"]) == state or not check["n"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        if check["n"] <= EDGES_IN_TASK:
+            labels = cut(in_one_task(now), "labels")
+            release(now)
+            return labels
         state = (check["n"], check["h"])
         up = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
         least = now.union(up).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -187,6 +195,25 @@ def components(edges: DataFrame) -> DataFrame:
         release(before)
 
 
+def in_one_task(edges: DataFrame) -> DataFrame:
+    """components() of so few edges that a task can hold them."""
+    schema = pa.schema([("node", pa.int64()), ("label", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        sets = _Union()
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sets.join(a, b)
+        nodes = list(sets.above)  # all but the smallest of each
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array(map(sets.top, nodes), type=pa.int64())], schema=schema)
+        del sets, nodes
+        tidy()
+
+    bounded_batches(edges.sparkSession)
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, label long")
+
+
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with `comp`: the label of `node`, or itself. A node has a bounded number of rows."""
     return rows.join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))

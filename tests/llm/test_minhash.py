@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from millrace.llm import minhash as M
 
@@ -132,3 +133,54 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 200), (300, 200), (7, 7)]
     got = {r["node"]: r["label"] for r in M.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 51)} | {200: 100, 300: 100}
+
+
+def tangle(seed=7):
+    """Paths, a star, a ring and random edges, in any order and direction, some twice, some from a node to itself."""
+    draw = random.Random(seed)
+    name = [draw.randrange(-(2**62), 2**62) for _ in range(900)]
+    edges = [(i, i + 1) for i in range(200)] + [(300, i) for i in range(301, 420)] + [(i, 500 + (i - 499) % 60) for i in range(500, 560)]
+    edges += [(draw.randrange(600, 900), draw.randrange(600, 900)) for _ in range(150)]
+    edges = [(name[a], name[b]) if draw.random() < 0.5 else (name[b], name[a]) for a, b in edges + edges[::9]]
+    draw.shuffle(edges)
+    union = M._Union()
+    for a, b in edges:
+        union.join(a, b)
+    nodes = {x for edge in edges if edge[0] != edge[1] for x in edge}
+    groups = {}
+    for x in nodes:
+        groups.setdefault(union.top(x), []).append(x)
+    return edges, {x: min(g) for g in groups.values() for x in g if x != min(g)}
+
+
+@pytest.mark.parametrize("in_task", [0, 250_000, 527])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, in_task):
+    monkeypatch.setattr(M, "EDGES_IN_TASK", in_task)
+    edges, want = tangle()
+    got = M.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["label"] for r in got} == want and len(got) == len(want)
+    assert M.components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
+def test_all_pairs_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(M, "EDGES_IN_TASK", 0)
+    check(spark, M.NearSettings(words=3, percent=85))
+
+
+def test_few_edges_take_few_tasks(spark):
+    """However many partitions a shuffle has: rounds of joins over a few edges made thousands of tasks, and files for each."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, tracker = {k: spark.conf.get(k) for k in conf}, spark.sparkContext.statusTracker()
+    edges = [(i, i + 1) for i in range(50)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few-edges", "few-edges")
+        got = {r["node"]: r["label"] for r in M.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for job in tracker.getJobIdsForGroup("few-edges") for s in tracker.getJobInfo(job).stageIds}
+    tasks = sum(info.numTasks for s in stages if (info := tracker.getStageInfo(s)))
+    assert got == dict.fromkeys(range(1, 51), 0) and stages and tasks <= 4 * 40
